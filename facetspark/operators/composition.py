@@ -29,10 +29,30 @@ def _measure(column: str, suffix: str) -> str:
 
 
 def _long(wide: DataFrame, ids: list[str], names: list[str], label: str, value: str) -> DataFrame:
-    """Unpivot; an empty column list gives no rows."""
-    if not names:
-        return wide.select(*ids, F.lit("").alias(label), F.lit(0.0).alias(value)).where(F.lit(False))
-    return wide.unpivot(ids, [named(n) for n in names], label, value)
+    """One row per named column; an empty list gives no rows.
+
+    ``inline`` keeps the partitioning of its input, so sorting the few rows of a
+    global aggregate needs no further exchange.
+    """
+    cells = [F.struct(F.lit(n).alias(label), named(n).cast("double").alias(value)) for n in names]
+    none = F.array(F.struct(F.lit("").alias(label), F.lit(0.0).alias(value)))
+    rows = wide.select(*ids, F.inline(F.array(*cells) if cells else none))
+    return rows if cells else rows.where(F.lit(False))
+
+
+def _totals(
+    main: DataFrame,
+    tags: DataFrame | None,
+    spec: FilterSpec,
+    ds: DatasetSpec,
+    count_columns: Sequence[str] | None,
+    apply_share: bool,
+) -> DataFrame:
+    columns = _columns(main, count_columns, ds.count_columns(main.columns))
+    names = [_measure(c, ds.count_suffix) for c in columns]
+    rows = apply_filters(main, tags, spec, ds, apply_share)
+    sums = [F.coalesce(F.sum(number(rows, c)), F.lit(0)).alias(n) for c, n in zip(columns, names)]
+    return _long(rows.agg(*sums) if sums else rows, [], names, "biotype", "count")
 
 
 def measure_totals(
@@ -44,14 +64,7 @@ def measure_totals(
     apply_share: bool = True,
 ) -> DataFrame:
     """(biotype, count) over the filtered rows, largest first (A2)."""
-    columns = _columns(main, count_columns, ds.count_columns(main.columns))
-    rows = apply_filters(main, tags, spec, ds, apply_share)
-    sums = rows.agg(*[
-        F.coalesce(F.sum(number(rows, c)), F.lit(0)).cast("double").alias(_measure(c, ds.count_suffix))
-        for c in columns
-    ]) if columns else rows.limit(0)
-    return _long(sums, [], [_measure(c, ds.count_suffix) for c in columns], "biotype", "count").orderBy(
-        F.desc("count"), "biotype")
+    return _totals(main, tags, spec, ds, count_columns, apply_share).orderBy(F.desc("count"), "biotype")
 
 
 def measure_means(
@@ -81,7 +94,7 @@ def measure_means(
         total = F.avg(value) if metric == "pct" and c.endswith(suffix) else F.sum(value)
         return F.coalesce(total, F.lit(0.0)).alias(_measure(c, suffix))
 
-    wide = rows.agg(*[summary(c) for c in columns]) if columns else rows.limit(0)
+    wide = rows.agg(*[summary(c) for c in columns]) if columns else rows
     return _long(wide, [], [_measure(c, suffix) for c in columns], "biotype", "value").orderBy(
         F.desc("value"), "biotype")
 
@@ -153,7 +166,7 @@ def measure_order(
 
     One row per measure column of the table, so the window is a handful of rows.
     """
-    totals = measure_totals(main, tags, spec, ds, apply_share=apply_share)
+    totals = _totals(main, tags, spec, ds, None, apply_share)
     place = Window.orderBy(F.desc_nulls_last("count"), "biotype")
     return totals.select("biotype", F.row_number().over(place).alias("biotype_rank"))
 

@@ -129,10 +129,20 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def keep_keys(df: DataFrame, key: str, keys: DataFrame, keys_column: str) -> DataFrame:
-    """Rows of ``df`` whose key is among ``keys`` (J1, J2, J3); never multiplies rows."""
+def keep_keys(
+    df: DataFrame, key: str, keys: DataFrame, keys_column: str, broadcast_most: int = 0,
+) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys`` (J1, J2, J3); never multiplies rows.
+
+    The optimizer and adaptive execution choose the join.  With
+    ``broadcast_most`` the keys are first counted, up to that many: if they are
+    no more, they are broadcast and ``df`` is not shuffled at all; if they are
+    more, the shuffled join stays.
+    """
     right = distinct_keys(keys, keys_column)
-    return df.join(right, named(key) == right["_key"], "left_semi")
+    if broadcast_most > 0 and right.limit(broadcast_most + 1).count() <= broadcast_most:
+        right = F.broadcast(right)
+    return df.join(right, named(key) == F.col("_key"), "left_semi")
 
 
 def entities_with_tags(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
@@ -153,7 +163,7 @@ def apply_filters(
         return rows
     if tags is None:
         raise ValueError("tag filters need the tag table")
-    return keep_keys(rows, ds.key, tag_rows(tags, spec, ds), ds.tag_key)
+    return keep_keys(rows, ds.key, tag_rows(tags, spec, ds), ds.tag_key, ds.broadcast_keys)
 
 
 def read_filtered(

@@ -32,7 +32,7 @@ def matching_entities(
         return keys
     if tags is None:
         raise ValueError("tag filters need the tag table")
-    return keep_keys(keys, ds.key, tag_rows(tags, spec, ds), ds.tag_key)
+    return keep_keys(keys, ds.key, tag_rows(tags, spec, ds), ds.tag_key, ds.broadcast_keys)
 
 
 def tag_distinct_counts(

@@ -108,9 +108,9 @@ def _sizes(t) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # ETL
-    "etl_main": lambda spark, sf: fixtures.flat_tables(spark, sf).main,
-    "etl_bridge": lambda spark, sf: fixtures.flat_tables(spark, sf).tags,
-    "etl_children": lambda spark, sf: fixtures.flat_tables(spark, sf).children,
+    "etl_main": fixtures.flat_main,
+    "etl_bridge": fixtures.flat_tags,
+    "etl_children": fixtures.flat_children,
     # filters
     "filter_ranks": _filtered(RANKS),
     "filter_category": _filtered(
@@ -123,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "filter_share_computed": _filtered(SHARE, drop=_shares()),
     "filter_share_no_total": _filtered(SHARE, drop=(*_shares(), "total_gene_biotypes")),
     "filter_tags": _filtered(TAGS),
+    "filter_tags_counted": _filtered(TAGS, dataset=replace(DATASET, broadcast_keys=100_000)),
     "filter_tags_empty": _filtered(FilterSpec.build(tag_levels=["realm"], tag_values=list(SUPPLIERS))),
     "filter_all": _filtered(ALL),
     "filter_drill": _filtered(FilterSpec().with_drill(DRILL, DATASET)),

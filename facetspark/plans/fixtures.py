@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..genome import GENOME, GENOME_SOURCE
-from ..operators.flatten import build_all
+from ..operators.flatten import build_children, build_main, build_tags
 from ..operators.quantiles import exact_quantiles
 from ..sources.tables import FacetTables, open_table, read_tables, shared_folder, write_tables
 
@@ -45,8 +45,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return open_table(spark, f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def _money(col: Column) -> Column:
-    return col.cast("decimal(18,2)")
+def _cents(col: Column) -> Column:
+    """Two-decimal amounts as whole numbers: their sums are exact in any order."""
+    return F.floor(col * 100 + 0.5)
 
 
 def _entity(custkey: Column) -> Column:
@@ -71,7 +72,7 @@ def nested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_type = lines.groupBy("o_custkey", "p_type").agg(
         F.count(F.lit(1)).alias("n"),
         *[f(e).alias(f"{v}_{s}") for v, e in grids.items()
-          for s, f in (("sum", lambda c: F.sum(_money(c))), ("max", F.max), ("min", F.min))],
+          for s, f in (("sum", lambda c: F.sum(_cents(c))), ("max", F.max), ("min", F.min))],
         F.max("l_partkey").alias("contig_n50"),
         F.count_if(F.col("l_returnflag") == "R").alias("coding_genes"),
         F.count_if(F.col("l_linestatus") == "O").alias("open_lines"),
@@ -89,8 +90,8 @@ def nested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("scaffold_count"))
     price = F.col("o_totalprice")
     areas = orders.groupBy("o_custkey").agg(
-        F.sum(_money(price)).cast("double").alias("range_km2"),
-        (F.sum(_money(price)).cast("double") / F.count(F.lit(1))).alias("mean_elevation"),
+        (F.sum(_cents(price)) / 100).alias("range_km2"),
+        (F.sum(_cents(price)) / 100 / F.count(F.lit(1))).alias("mean_elevation"),
         F.min(price).alias("min_elevation"), F.max(price).alias("max_elevation"),
         F.max("o_orderstatus").alias("assembly_level"),
     )
@@ -114,7 +115,7 @@ def nested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(family, F.lit(f"/{prefix}"), (key % parts_of).cast("string"))
 
     total = F.when(key % 13 != 0, F.col("lines"))
-    mean = {v: F.col(f"{v}_sum").cast("double") / F.col("lines") for v in grids}
+    mean = {v: F.col(f"{v}_sum") / 100 / F.col("lines") for v in grids}
     return people.select(
         _entity(key).alias("accession"),
         F.struct(
@@ -193,22 +194,31 @@ def nested_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def flat_tables(spark: SparkSession, sf_dir: str) -> FacetTables:
-    """The ETL over the nested records, lazily."""
-    return build_all(
-        nested_entities(spark, sf_dir), SOURCE, DATASET,
-        tag_source=nested_tags(spark, sf_dir), child_source=nested_children(spark, sf_dir))
+def flat_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ETL over the nested records, lazily: the entity table."""
+    return build_main(nested_entities(spark, sf_dir), SOURCE, DATASET)
 
 
-_published: dict[tuple[str, str], str] = {}
+def flat_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_tags(nested_tags(spark, sf_dir), SOURCE, DATASET)
+
+
+def flat_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_children(nested_children(spark, sf_dir), SOURCE)
+
+
+_published: dict[tuple[str, str], FacetTables] = {}
 
 
 def published_tables(spark: SparkSession, sf_dir: str) -> FacetTables:
-    """The flat tables as Parquet, written on first use in this application."""
-    application = spark.sparkContext.applicationId
-    done = _published.get((application, sf_dir))
-    if done is None:
-        done = f"{shared_folder(spark)}/facetspark-{application}/{crc32(sf_dir.encode()):08x}"
-        write_tables(flat_tables(spark, sf_dir), done, DATASET, cluster_by=("kingdom", "phylum", "class"))
-        _published[(application, sf_dir)] = done
-    return read_tables(spark, done, DATASET)
+    """The flat tables as Parquet, written on first use in this application.
+
+    Opening them once keeps file listing and footer reads out of every query.
+    """
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _published:
+        folder = f"{shared_folder(spark)}/facetspark-{name[0]}/{crc32(sf_dir.encode()):08x}"
+        flat = FacetTables(flat_main(spark, sf_dir), flat_tags(spark, sf_dir), flat_children(spark, sf_dir))
+        write_tables(flat, folder, DATASET, cluster_by=("kingdom", "phylum", "class"))
+        _published[name] = read_tables(spark, folder, DATASET)
+    return _published[name]

@@ -232,6 +232,7 @@ ORACLE: dict[str, str] = {
     "filter_share_no_total": _wide(
         f"SELECT accession, kingdom, tax_id, range_km2 FROM wide WHERE {_share(_ALL_COUNTS)}"),
     "filter_tags": _shown(TAGGED, tags=True),
+    "filter_tags_counted": _shown(TAGGED, tags=True),
     "filter_tags_empty": _shown(
         f"accession IN (SELECT accession FROM tags WHERE level = 'realm' AND value IN ({SUPPLIERS}))", tags=True),
     "filter_all": _shown(ALL, tags=True),
