@@ -13,9 +13,10 @@ from ..sources.tables import shared_folder
 from ..spec import DatasetSpec, FilterSpec
 from .filters import apply_filters, require_columns
 
-# Up to this many leading rows a page is a top-k: every task keeps that many
-# rows at most.  Pages further back are cut from a numbered, sorted copy.
-TOP_ROWS = 100_000
+# Up to this many leading rows a page is a top-k: every task sends that many
+# rows at most to the last one.  Pages further back are cut from a numbered,
+# sorted copy.
+TOP_ROWS = 5_000
 
 _ROW_BITS = 33                     # layout of monotonically_increasing_id
 

@@ -12,12 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import finite, named, number, thousands
 from ..spec import DatasetSpec, FilterSpec
 from .composition import measure_totals
-from .filters import apply_filters, distinct_keys, filter_rows, keep_keys, require_columns, tag_rows
+from .filters import apply_filters, filter_rows, keep_keys, require_columns, tag_rows
 
 
 def matching_entities(
@@ -52,12 +51,14 @@ def _tag_counts(entities: DataFrame, tags: DataFrame, ds: DatasetSpec) -> DataFr
         tags.where(level.isin(list(ds.tag_levels)) & value.isNotNull())
         .select(named(ds.tag_key), level.alias("level"), value.alias("value")),
         ds.tag_key, entities, ds.key)
-    counts = kept.select("level", "value").distinct().groupBy("level").agg(
-        F.count(F.lit(1)).alias("values"))
-    zeros = tags.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(v) for v in ds.tag_levels])).alias("level"),
-        F.lit(0).cast("long").alias("values"))
-    return counts.unionByName(zeros).groupBy("level").agg(F.max("values").alias("values"))
+    counts = kept.select("level", "value").distinct().agg(*[
+        F.count_if(F.col("level") == v).alias(v) for v in ds.tag_levels])
+    return _as_rows(counts, ds.tag_levels, "level", "values")
+
+
+def _as_rows(one_row: DataFrame, names: Sequence[str], label: str, value: str) -> DataFrame:
+    return one_row.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias(label), named(n).alias(value)) for n in names])))
 
 
 def kpi_figures(
@@ -73,15 +74,12 @@ def kpi_figures(
                            total.alias("amount")))
     items = rows.select(F.inline(F.array(*offers))).groupBy("figure", "item").agg(
         F.sum("amount").alias("amount"))
-    per_figure = items.groupBy("figure").agg(
-        F.count("item").alias("value"), F.sum("amount").alias("amount"))
-    figures = per_figure.select(F.inline(F.array(
-        F.struct("figure", "value"),
-        F.struct(F.when(F.col("figure") == "accessions", F.lit("total_genes")).alias("figure"),
-                 F.coalesce("amount", F.lit(0)).alias("value")),
-    ))).where(F.col("figure").isNotNull())
-    return figures.unionByName(
-        _tag_counts(rows, tags, ds).select(F.col("level").alias("figure"), F.col("values").alias("value")))
+    names = [*ds.ranks, "accessions"]
+    counts = items.agg(
+        *[F.count_if((F.col("figure") == n) & F.col("item").isNotNull()).alias(n) for n in names],
+        F.coalesce(F.sum("amount"), F.lit(0)).alias("total_genes"))
+    return _as_rows(counts, [*names, "total_genes"], "figure", "value").unionByName(
+        _tag_counts(rows, tags, ds).toDF("figure", "value"))
 
 
 def kpi_summary(
@@ -149,13 +147,18 @@ def breakpoints(ranges: DataFrame) -> DataFrame:
 
 
 def tags_by_entity(
-    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec,
+    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec, as_map: bool = False,
 ) -> DataFrame:
     """(key, level, values): each entity's sorted tags per level.
 
     Copies collapse map-side; a list is as long as the level's vocabulary at most.
+    ``as_map`` gives one row per entity with a level -> values map.
     """
     wanted = tags.where(named(ds.tag_level).isin([str(v) for v in levels]))
     kept = keep_keys(wanted, ds.tag_key, entities, ds.key)
-    return kept.groupBy(named(ds.tag_key), named(ds.tag_level)).agg(
+    lists = kept.groupBy(named(ds.tag_key), named(ds.tag_level)).agg(
         F.array_sort(F.collect_set(ds.tag_value)).alias("values"))
+    if not as_map:
+        return lists
+    return lists.groupBy(named(ds.tag_key)).agg(
+        F.map_from_entries(F.collect_list(F.struct(named(ds.tag_level), F.col("values")))).alias("tags"))

@@ -20,6 +20,7 @@ from .filters import apply_filters, in_values, require_columns
 
 VALUE_LIMIT = 5000
 LEVEL_LIMIT = 200
+OPTION_SLICES = 64
 
 
 def distinct_values(
@@ -73,12 +74,12 @@ def cascaded_options(
     )
     if limit is None:
         return options
-    place = Window.partitionBy("rank").orderBy("value")
-    return (
-        options.withColumn("_place", F.row_number().over(place))
-        .where(F.col("_place") <= limit)
-        .drop("_place")
-    )
+    # first per slice of a rank's values, then per rank: the last step sees a
+    # bounded number of rows even for a rank with billions of values
+    for group in (["rank", F.pmod(F.xxhash64("value"), F.lit(OPTION_SLICES))], ["rank"]):
+        place = Window.partitionBy(*group).orderBy("value")
+        options = options.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= limit).drop("_place")
+    return options
 
 
 def tag_levels(tags: DataFrame, ds: DatasetSpec, limit: int = LEVEL_LIMIT) -> DataFrame:

@@ -10,7 +10,9 @@ share of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import cached_property
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from ..genome import GENOME, GENOME_SOURCE
 from ..operators.flatten import build_children, build_main, build_tags
 from ..operators.quantiles import exact_quantiles
-from ..sources.tables import FacetTables, open_table, read_tables, shared_folder, write_tables
+from ..sources.tables import open_table, shared_folder, write_table
 
 FOLD = 1000
 
@@ -207,18 +209,42 @@ def flat_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_children(nested_children(spark, sf_dir), SOURCE)
 
 
-_published: dict[tuple[str, str], FacetTables] = {}
+class PublishedTables:
+    """The flat tables as Parquet, each written on first use in this application.
 
+    Opening a table once keeps file listing and footer reads out of every query.
+    """
 
-def published_tables(spark: SparkSession, sf_dir: str) -> FacetTables:
-    """The flat tables as Parquet, written on first use in this application.
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf_dir = spark, sf_dir
+        application = spark.sparkContext.applicationId
+        self._folder = f"{shared_folder(spark)}/facetspark-{application}/{crc32(sf_dir.encode()):08x}"
 
-    Opening them once keeps file listing and footer reads out of every query.
-    """
-    name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _published:
-        folder = f"{shared_folder(spark)}/facetspark-{name[0]}/{crc32(sf_dir.encode()):08x}"
-        flat = FacetTables(flat_main(spark, sf_dir), flat_tags(spark, sf_dir), flat_children(spark, sf_dir))
-        write_tables(flat, folder, DATASET, cluster_by=("kingdom", "phylum", "class"))
-        _published[name] = read_tables(spark, folder, DATASET)
-    return _published[name]
+    def _publish(self, flat: Callable[[SparkSession, str], DataFrame], file: str, cluster_by: tuple = ()) -> DataFrame:
+        path = f"{self._folder}/{file}"
+        if path not in _written:
+            write_table(flat(self._spark, self._sf_dir), path, cluster_by)
+            _written.add(path)
+        return open_table(self._spark, path)
+
+    @cached_property
+    def main(self) -> DataFrame:
+        return self._publish(flat_main, DATASET.main_file, ("kingdom", "phylum", "class", DATASET.key))
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        return self._publish(flat_tags, DATASET.tag_file, (DATASET.tag_level, DATASET.tag_value, DATASET.tag_key))
+
+    @cached_property
+    def children(self) -> DataFrame:
+        return self._publish(flat_children, DATASET.child_file)
+
+
+_written: set[str] = set()
+_opened: dict[tuple[SparkSession, str], PublishedTables] = {}
+
+
+def published_tables(spark: SparkSession, sf_dir: str) -> PublishedTables:
+    if (spark, sf_dir) not in _opened:
+        _opened[spark, sf_dir] = PublishedTables(spark, sf_dir)
+    return _opened[spark, sf_dir]

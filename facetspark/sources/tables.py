@@ -40,6 +40,18 @@ def list_columns(df: DataFrame) -> list[str]:
     return list(df.columns)
 
 
+def write_table(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> None:
+    """Write one table, range-partitioned and sorted on ``cluster_by`` if given.
+
+    Parquet row-group statistics then let filters on those columns skip most of
+    the files.
+    """
+    if cluster_by:
+        order = [named(c) for c in dict.fromkeys(cluster_by)]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.write.mode("overwrite").parquet(path)
+
+
 def write_tables(
     tables: FacetTables,
     out_dir: str,
@@ -48,18 +60,12 @@ def write_tables(
 ) -> None:
     """Write the three tables under their fixed names.
 
-    With ``cluster_by`` the main table is range-partitioned and sorted on those
-    columns and the entity key, so that Parquet row-group statistics let rank
-    filters skip most of the files.  The key at the end splits a dominant
-    rank value over many partitions.
+    ``cluster_by`` orders the main table; the entity key is added to it, which
+    splits a dominant rank value over many partitions.
     """
-    main = tables.main
-    if cluster_by:
-        order = [named(c) for c in dict.fromkeys([*cluster_by, ds.key])]
-        main = main.repartitionByRange(*order).sortWithinPartitions(*order)
-    main.write.mode("overwrite").parquet(f"{out_dir}/{ds.main_file}")
-    tables.tags.write.mode("overwrite").parquet(f"{out_dir}/{ds.tag_file}")
-    tables.children.write.mode("overwrite").parquet(f"{out_dir}/{ds.child_file}")
+    write_table(tables.main, f"{out_dir}/{ds.main_file}", (*cluster_by, ds.key) if cluster_by else ())
+    write_table(tables.tags, f"{out_dir}/{ds.tag_file}")
+    write_table(tables.children, f"{out_dir}/{ds.child_file}")
 
 
 def read_tables(spark: SparkSession, out_dir: str, ds: DatasetSpec) -> FacetTables:

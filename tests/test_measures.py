@@ -148,6 +148,8 @@ def test_tags_by_entity(spark, tags):
     entities = spark.createDataFrame([("B",), ("B",), ("A",)], "accession string")
     got = table(kpi.tags_by_entity(tags, entities, ["realm"], DS).orderBy("accession"))
     assert got == [("A", "realm", ["r1"]), ("B", "realm", ["r1", "r2"])]
+    got = dict(table(kpi.tags_by_entity(tags, entities, ["realm", "biome"], DS, as_map=True)))
+    assert got == {"A": {"realm": ["r1"]}, "B": {"realm": ["r1", "r2"]}}
 
 
 # ---- quantiles ------------------------------------------------------------------
