@@ -1,7 +1,7 @@
-"""The genome dataset: the layout and spec users of the dashboards have today.
+"""The genome annotation dataset: its nested layout and its flat tables.
 
-Everything here is a fixed value: names that saved tables, saved filters and
-column presets rely on.  The operators never look at this module; they take
+Everything here is a fixed value: names that source records, written tables,
+saved filters and column presets rely on.  The operators never look at this module; they take
 whatever ``SourceLayout`` / ``DatasetSpec`` they are given.
 """
 
@@ -164,26 +164,44 @@ PRESETS = {
         "ensembl_browser", "gbif",
     ),
 }
-# ---- end of fixed values ----------------------------------------------------
-
 GENOME_SOURCE = SourceLayout(
+    key="accession",
+    rank_struct="taxonomy",
     rank_fields=(*RANKS, "tax_id"),
     plain=AREA_COLUMNS,
+    grid_struct="clim_CHELSA",
+    grid_prefix="clim",
     grid_vars=CLIMATE_VARS,
     grid_stats=CLIMATE_STATS,
+    url_struct="meta_urls",
     url_fields=URL_FIELDS,
+    measure_array="gene_biotypes",
+    measure_key="gene_biotype",
+    measure_count="gene_biotype_count",
+    measure_share="gene_biotype_percentage",
+    measure_total="total_gene_biotypes",
     flat_stats=(("ena_stats", "ena", ENA_FIELDS),),
     grouped_stats=(("ensembl_stats", "ens", ENSEMBL_GROUPS),),
+    tag_struct="biogeo_Ecoregion",
+    tag_values="values",
+    child_array="gbif_occs",
     child_fields=CHILD_FIELDS,
+    child_place="gadm",
     child_place_levels=("level0", "level1", "level2"),
+    child_place_field="name",
     child_columns=CHILD_COLUMNS,
 )
 
 GENOME = DatasetSpec(
+    key="accession",
     ranks=RANKS,
+    id_facet="tax_id",
+    title="species",
     measures=BIOTYPES,
+    total="total_gene_biotypes",
     not_measures=frozenset({"total_gene_biotypes"}),
     category="clim_bio1_mean",
+    tag_key="accession",
     tag_levels=TAG_LEVELS,
     urls=tuple(column for _, column in URL_FIELDS),
     metric_prefixes=METRIC_PREFIXES,
@@ -191,4 +209,8 @@ GENOME = DatasetSpec(
     labels=LABELS,
     presets=PRESETS,
     default_preset="ensembl_biotypes",
+    main_file="dashboard_main.parquet",
+    tag_file="biogeo_long.parquet",
+    child_file="gbif_occurrences.parquet",
 )
+# ---- end of fixed values ----------------------------------------------------

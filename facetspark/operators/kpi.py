@@ -19,6 +19,9 @@ from .composition import measure_totals
 from .filters import apply_filters, filter_rows, keep_keys, require_columns, tag_rows
 
 
+LIST_SIZE = 1000
+
+
 def matching_entities(
     main: DataFrame, tags: DataFrame | None, spec: FilterSpec, ds: DatasetSpec,
 ) -> DataFrame:
@@ -146,19 +149,38 @@ def breakpoints(ranges: DataFrame) -> DataFrame:
     )
 
 
+def entity_tags(
+    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec,
+) -> DataFrame:
+    """Distinct (key, level, value) of the given entities."""
+    wanted = tags.where(named(ds.tag_level).isin([str(v) for v in levels]) & named(ds.tag_value).isNotNull())
+    kept = keep_keys(wanted, ds.tag_key, entities, ds.key)
+    return kept.select(named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)).distinct()
+
+
 def tags_by_entity(
     tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec, as_map: bool = False,
 ) -> DataFrame:
-    """(key, level, values): each entity's sorted tags per level.
+    """(key, level, part, values): each entity's sorted tags per level.
 
-    Copies collapse map-side; a list is as long as the level's vocabulary at most.
-    ``as_map`` gives one row per entity with a level -> values map.
+    Lists of up to ``LIST_SIZE`` values are one row with part 0.  A longer one
+    comes in as many parts as it needs, each sorted, values going to parts by
+    digest: nothing is left out, and no task holds more than a part.  With
+    ``as_map``, one row per entity and part with a level -> values map.
     """
-    wanted = tags.where(named(ds.tag_level).isin([str(v) for v in levels]))
-    kept = keep_keys(wanted, ds.tag_key, entities, ds.key)
-    lists = kept.groupBy(named(ds.tag_key), named(ds.tag_level)).agg(
-        F.array_sort(F.collect_set(ds.tag_value)).alias("values"))
+    key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
+    pairs = entity_tags(tags, entities, levels, ds)
+    # grouped on the hash as well, for the reason given in distinct_keys
+    long_lists = (
+        pairs.groupBy(key.alias("_key"), level.alias("_level"), F.xxhash64(key, level)).agg(
+            F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > LIST_SIZE).select("_key", "_level", F.ceil(F.col("_n") / LIST_SIZE).alias("_parts"))
+    )
+    digest = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
+    split = pairs.join(long_lists, (key == F.col("_key")) & (level == F.col("_level")), "left")
+    part = F.coalesce(digest % F.col("_parts"), F.lit(0)).alias("part")
+    lists = split.groupBy(key, level, part).agg(F.array_sort(F.collect_list(value)).alias("values"))
     if not as_map:
         return lists
-    return lists.groupBy(named(ds.tag_key)).agg(
-        F.map_from_entries(F.collect_list(F.struct(named(ds.tag_level), F.col("values")))).alias("tags"))
+    return lists.groupBy(key, "part").agg(
+        F.map_from_entries(F.collect_list(F.struct(level, F.col("values")))).alias("tags"))

@@ -189,7 +189,9 @@ QUERIES: dict[str, Query] = {
     "options_tag_values": _on_tables(lambda t: options.tag_values(t.tags, ["realm", "biome"], DATASET)),
     "tags_by_entity": _on_tables(lambda t: kpi.tags_by_entity(
         t.tags, _matching(t), ["realm", "biome", "ecoregion"], DATASET).select(
-            "accession", "level", F.array_join("values", "|").alias("value_list"))),
+            "accession", "level", "part", F.array_join("values", "|").alias("value_list"))),
+    "tags_of_entities": _on_tables(lambda t: kpi.entity_tags(
+        t.tags, _matching(t), ["biome", "ecoregion"], DATASET)),
     # relationships
     "scatter_long": _on_tables(lambda t: _rounded(_measure_points(t), 9, "y")),
     "scatter_share": _on_tables(lambda t: _measure_points(t, "percentage", ALL)),

@@ -310,8 +310,16 @@ ORACLE: dict[str, str] = {
     "options_tag_values": _with(TAGS) + "SELECT DISTINCT value FROM tags WHERE level IN ('realm', 'biome') "
                                         "ORDER BY 1 LIMIT 5000",
     "tags_by_entity": _wide(
-        "SELECT accession, level, string_agg(value, '|' ORDER BY value) AS value_list FROM tags "
-        f"WHERE accession IN (SELECT accession FROM wide WHERE {KINGDOMS}) GROUP BY accession, level", TAGS),
+        "SELECT accession, level, part, string_agg(value, '|' ORDER BY value) AS value_list FROM parted "
+        "GROUP BY accession, level, part",
+        TAGS, f"chosen AS (SELECT * FROM tags WHERE accession IN (SELECT accession FROM wide WHERE {KINGDOMS}))",
+        """counted AS (SELECT accession AS a, level AS l, COUNT(*) AS n FROM chosen GROUP BY 1, 2)""",
+        """parted AS (SELECT accession, level, value, CASE WHEN n <= 1000 THEN 0
+             ELSE CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % CAST(ceil(n / 1000.0) AS BIGINT) END AS part
+           FROM chosen JOIN counted ON accession = a AND level = l)"""),
+    "tags_of_entities": _wide(
+        f"SELECT * FROM tags WHERE level IN ('biome', 'ecoregion') "
+        f"AND accession IN (SELECT accession FROM wide WHERE {KINGDOMS})", TAGS),
     "scatter_long": _wide("SELECT species, accession, total, x_name, x, series, ROUND(y, 9) AS y FROM points",
                           _points(_PER1K, KINGDOMS)),
     "scatter_share": _wide("SELECT * FROM points", TAGS, _points(_STORED, ALL)),

@@ -1,11 +1,14 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from facetspark.genome import GENOME
 from facetspark.functions.columns import markdown_link, thousands
 from facetspark.operators import browse, options
-from facetspark.spec import DatasetSpec, FilterSpec
+from facetspark.spec import FilterSpec
 
-DS = DatasetSpec(ranks=("kingdom", "phylum"), measures=("m",), urls=("url",), tag_levels=("realm", "biome"))
+DS = replace(GENOME, ranks=("kingdom", "phylum"), measures=("m",), urls=("url",), tag_levels=("realm", "biome"))
 
 
 @pytest.fixture(scope="module")

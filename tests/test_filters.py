@@ -3,11 +3,12 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from facetspark.genome import GENOME
 from facetspark.operators import filters
 from facetspark.operators.filters import apply_filters, read_filtered
-from facetspark.spec import DatasetSpec, FilterSpec, ShareRange
+from facetspark.spec import FilterSpec
 
-DS = DatasetSpec(ranks=("kingdom", "phylum"), measures=("m", "n"), tag_levels=("realm", "biome"), category="cat")
+DS = replace(GENOME, ranks=("kingdom", "phylum"), measures=("m", "n"), tag_levels=("realm", "biome"), category="cat")
 
 
 @pytest.fixture(scope="module")

@@ -1,15 +1,17 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from facetspark.genome import GENOME
 from facetspark.operators import composition, kpi, relate
 from facetspark.operators.quantiles import exact_quantiles, value_band
-from facetspark.spec import DatasetSpec, FilterSpec
+from facetspark.spec import FilterSpec
 
-DS = DatasetSpec(ranks=("kingdom", "phylum"), measures=("a", "b", "c"), tag_levels=("realm", "biome"))
+DS = replace(GENOME, ranks=("kingdom", "phylum"), measures=("a", "b", "c"), tag_levels=("realm", "biome"))
 NAN = float("nan")
 
 
@@ -96,7 +98,7 @@ def test_drill_total_equals_its_parent(main):
 
 
 def test_labels(spark):
-    ds = DatasetSpec(metric_prefixes=(("ena_", "ENA"),), labels={"x": "The X"})
+    ds = replace(GENOME, metric_prefixes=(("ena_", "ENA"),), labels={"x": "The X"})
     df = composition.with_labels(spark.createDataFrame([("ena_q_r",), ("x",), ("z",)], "column string"), "column", ds, ["ena_q_r", "x"])
     assert table(df) == [("ena_q_r", "ENA: q r"), ("x", "The X"), ("z", "z")]
 
@@ -147,9 +149,21 @@ def test_extents_and_breakpoints(spark):
 def test_tags_by_entity(spark, tags):
     entities = spark.createDataFrame([("B",), ("B",), ("A",)], "accession string")
     got = table(kpi.tags_by_entity(tags, entities, ["realm"], DS).orderBy("accession"))
-    assert got == [("A", "realm", ["r1"]), ("B", "realm", ["r1", "r2"])]
-    got = dict(table(kpi.tags_by_entity(tags, entities, ["realm", "biome"], DS, as_map=True)))
-    assert got == {"A": {"realm": ["r1"]}, "B": {"realm": ["r1", "r2"]}}
+    assert got == [("A", "realm", 0, ["r1"]), ("B", "realm", 0, ["r1", "r2"])]
+    got = kpi.tags_by_entity(tags, entities, ["realm", "biome"], DS, as_map=True).orderBy("accession")
+    assert table(got) == [("A", 0, {"realm": ["r1"]}), ("B", 0, {"realm": ["r1", "r2"]})]
+
+
+def test_long_tag_lists_come_in_parts_and_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(kpi, "LIST_SIZE", 10)
+    rows = [("hot", "realm", f"v{i:03d}") for i in range(95)] * 2 + [("cold", "realm", f"v{i}") for i in range(10)]
+    tags = spark.createDataFrame(rows, "accession string, level string, value string")
+    got = table(kpi.tags_by_entity(tags, tags, ["realm"], DS))
+    hot = [r for r in got if r[0] == "hot"]
+    assert {r[2] for r in hot} == set(range(10)) and max(len(r[3]) for r in hot) < 30
+    assert sorted(v for r in hot for v in r[3]) == [f"v{i:03d}" for i in range(95)]
+    assert all(r[3] == sorted(r[3]) for r in hot)
+    assert [r[2] for r in got if r[0] == "cold"] == [0]
 
 
 # ---- quantiles ------------------------------------------------------------------
