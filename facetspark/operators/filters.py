@@ -8,7 +8,7 @@ rank, range and stored-share filters all reach the Parquet scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import and_
 
@@ -113,20 +113,22 @@ def tag_rows(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
     return tags
 
 
-def distinct_keys(df: DataFrame, key: str) -> DataFrame:
-    """The keys of a table, each once, ready to be the right side of a semi join.
+def spread_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str) -> DataFrame:
+    """Join ``left`` columns to ``right`` columns so that a hot key can be split.
 
-    Copies of a hot key collapse map-side.  Grouping on the key *and* its hash
-    keeps this aggregate's partitioning different from the join's on purpose:
-    the join then reads both sides straight from its own shuffles, the form in
-    which adaptive execution can split a hot key of the left side.
+    Joining on the keys *and* their hash changes no row.  It makes both inputs
+    come straight from shuffles of this join's own, and lets no later grouping
+    by the keys count on them: the two conditions under which adaptive
+    execution may cut a hot key's left rows into several tasks.
     """
-    return (
-        df.where(named(key).isNotNull())
-        .select(named(key).alias("_key"), F.xxhash64(named(key)).alias("_spread"))
-        .distinct()
-        .select("_key")
-    )
+    equal = [named(a) == right[b] for a, b in on.items()]
+    hashes = F.xxhash64(*[named(a) for a in on]) == F.xxhash64(*[right[b] for b in on.values()])
+    return left.join(right, reduce(and_, equal) & hashes, how)
+
+
+def distinct_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys of a table as ``_key``, each once; copies of a hot key collapse map-side."""
+    return df.where(named(key).isNotNull()).select(named(key).alias("_key")).distinct()
 
 
 def keep_keys(
@@ -142,7 +144,7 @@ def keep_keys(
     right = distinct_keys(keys, keys_column)
     if broadcast_most > 0 and right.limit(broadcast_most + 1).count() <= broadcast_most:
         right = F.broadcast(right)
-    return df.join(right, named(key) == F.col("_key"), "left_semi")
+    return spread_join(df, right, {key: "_key"}, "left_semi")
 
 
 def entities_with_tags(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:

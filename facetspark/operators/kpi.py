@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, named, number, thousands
 from ..spec import DatasetSpec, FilterSpec
 from .composition import measure_totals
-from .filters import apply_filters, filter_rows, keep_keys, require_columns, tag_rows
+from .filters import apply_filters, filter_rows, keep_keys, require_columns, spread_join, tag_rows
 
 
 LIST_SIZE = 1000
@@ -153,9 +153,10 @@ def entity_tags(
     tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec,
 ) -> DataFrame:
     """Distinct (key, level, value) of the given entities."""
-    wanted = tags.where(named(ds.tag_level).isin([str(v) for v in levels]) & named(ds.tag_value).isNotNull())
-    kept = keep_keys(wanted, ds.tag_key, entities, ds.key)
-    return kept.select(named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)).distinct()
+    key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
+    wanted = tags.where(
+        key.isNotNull() & level.isNotNull() & level.isin([str(v) for v in levels]) & value.isNotNull())
+    return keep_keys(wanted.select(key, level, value).distinct(), ds.tag_key, entities, ds.key)
 
 
 def tags_by_entity(
@@ -170,14 +171,12 @@ def tags_by_entity(
     """
     key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
     pairs = entity_tags(tags, entities, levels, ds)
-    # grouped on the hash as well, for the reason given in distinct_keys
     long_lists = (
-        pairs.groupBy(key.alias("_key"), level.alias("_level"), F.xxhash64(key, level)).agg(
-            F.count(F.lit(1)).alias("_n"))
+        pairs.groupBy(key.alias("_key"), level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > LIST_SIZE).select("_key", "_level", F.ceil(F.col("_n") / LIST_SIZE).alias("_parts"))
     )
     digest = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
-    split = pairs.join(long_lists, (key == F.col("_key")) & (level == F.col("_level")), "left")
+    split = spread_join(pairs, long_lists, {ds.tag_key: "_key", ds.tag_level: "_level"}, "left")
     part = F.coalesce(digest % F.col("_parts"), F.lit(0)).alias("part")
     lists = split.groupBy(key, level, part).agg(F.array_sort(F.collect_list(value)).alias("values"))
     if not as_map:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetspark.genome import GENOME
-from facetspark.operators import filters
+from facetspark.operators import filters, kpi
 from facetspark.operators.filters import apply_filters, read_filtered
 from facetspark.spec import FilterSpec
 
@@ -134,27 +134,53 @@ def test_filters_reach_the_parquet_scan(spark, main, tmp_path):
     assert "phylum" not in formatted and "Python" not in formatted
 
 
-def test_hot_key_on_either_side_is_split(spark, tmp_path):
-    """A third of both tables shares one key: copies collapse, the left side is split by AQE."""
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+}
+
+
+@pytest.fixture
+def hot(spark, tmp_path):
+    """A table and a tag table where one key has a third of all rows, and settings small enough to split it."""
     key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
     noise = F.sha2(F.col("id").cast("string"), 256)
     spark.range(60_000).select(key.alias("accession"), noise.alias("payload"), F.col("id").alias("tax_id")).write.parquet(f"{tmp_path}/m")
     spark.range(90_000).select(key.alias("accession"), F.lit("realm").alias("level"), noise.alias("value")).write.parquet(f"{tmp_path}/t")
-    left, right = spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/t")
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
-    }
-    for k, v in conf.items():
+    for k, v in SKEW.items():
         spark.conf.set(k, v)
-    try:
-        df = filters.keep_keys(left, "accession", right, "accession").agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct("payload").alias("d"), F.sum("tax_id").alias("s"))
-        got = df.collect()[0]
-        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
-        assert tuple(got) == (60_000, 60_000, sum(range(60_000)))
-    finally:
-        for k in conf:
-            spark.conf.unset(k)
+    yield spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/t")
+    for k in SKEW:
+        spark.conf.unset(k)
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+
+
+def test_hot_key_is_split_under_an_aggregate(hot):
+    main, tags = hot
+    df = filters.keep_keys(main, "accession", tags, "accession").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("payload").alias("d"), F.sum("tax_id").alias("s"))
+    assert tuple(df.collect()[0]) == (60_000, 60_000, sum(range(60_000)))
+    assert "skew=true" in final_plan(df)
+
+
+def test_hot_key_is_split_even_before_grouping_by_it(hot):
+    main, tags = hot
+    df = filters.keep_keys(main, "accession", tags, "accession").groupBy("accession").agg(
+        F.count(F.lit(1)).alias("n"), F.max("payload").alias("p"))
+    assert max(r["n"] for r in df.collect()) == 20_000
+    assert "skew=true" in final_plan(df)
+
+
+def test_hot_entity_is_split_when_its_tags_are_listed(hot):
+    main, tags = hot
+    df = kpi.tags_by_entity(tags, main, ["realm"], DS)
+    got = [(r["accession"], len(r["values"])) for r in df.collect()]
+    assert sum(n for _, n in got) == tags.join(main, "accession", "left_semi").count()
+    sizes = [n for k, n in got if k == "hot"]
+    assert sum(sizes) == 30_000 and len(sizes) == 30 and max(sizes) < 1_300
+    assert "skew=true" in final_plan(df)
