@@ -1,10 +1,10 @@
 """Seconds per query on $BENCH_SF_DIR with local[$BENCH_CPUS]; prints one JSON line.
 
-Publishing the flat tables (the ETL and its Parquet output) is timed on its
-own; the queries then run on the published tables.  Each query runs once
-untimed, so that code generation is not part of the figure, and the best of
-two timed runs counts.  Results go to the "noop" sink: every row is computed,
-none is collected.
+The ETL queries come first; then publishing each flat table (its ETL and its
+Parquet output) is timed, once; the other queries run on the published tables.
+Each query runs once untimed, so that code generation is not part of the
+figure, and the better of two timed runs counts.  Results go to the "noop"
+sink: every row is computed, none is collected.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("facetspark-bench")
+        # no Python call-site capture: it triples the driver round trips of building a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -39,14 +41,17 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
+    def warm(name: str) -> float:
+        run(name)
+        return min(run(name), run(name))
+
+    flatten = [name for name in QUERIES if name.startswith("etl_")]
+    seconds = {name: warm(name) for name in flatten}
     for table in ("main", "tags", "children"):
         start = time.perf_counter()
         getattr(published_tables(spark, sf_dir), table)
         seconds[f"publish_{table}"] = time.perf_counter() - start
-    for name in QUERIES:
-        run(name)
-        seconds[name] = min(run(name), run(name))
+    seconds.update((name, warm(name)) for name in QUERIES if name not in flatten)
     print(json.dumps({
         "metric": "total_query_seconds",
         "value": round(sum(seconds.values()), 3),

@@ -1,5 +1,5 @@
 """Faceted analytics over wide entity tables, as Spark DataFrame operators."""
 
-from .spec import DatasetSpec, FilterSpec, ShareRange, SourceLayout
+from .spec import DatasetSpec, Drill, FilterSpec, ShareRange, SourceLayout
 
-__all__ = ["DatasetSpec", "FilterSpec", "ShareRange", "SourceLayout"]
+__all__ = ["DatasetSpec", "Drill", "FilterSpec", "ShareRange", "SourceLayout"]

@@ -103,13 +103,9 @@ def filter_rows(df: DataFrame, spec: FilterSpec, ds: DatasetSpec, apply_share: b
 def tag_rows(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
     """Tag rows that satisfy the level and the value selection at once."""
     require_columns(tags, [ds.tag_key, ds.tag_level, ds.tag_value])
-    picked = [
-        in_values(tags, column, values)
-        for column, values in ((ds.tag_level, spec.tag_levels), (ds.tag_value, spec.tag_values))
-        if values
-    ]
-    for p in picked:
-        tags = tags.where(F.lit(False) if p is None else p)
+    for column, values in ((ds.tag_level, spec.tag_levels), (ds.tag_value, spec.tag_values)):
+        if values:
+            tags = tags.where(named(column).isin(list(values)))
     return tags
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import markdown_link, thousands
 from ..operators import browse, composition, filters, kpi, options, relate
 from ..sources.tables import open_table
-from ..spec import FilterSpec, ShareRange
+from ..spec import Drill, FilterSpec, ShareRange
 from . import fixtures
 from .fixtures import DATASET, MEASURES, published_tables
 
@@ -36,6 +36,7 @@ ALL = FilterSpec.build(
 DRILL = ({"rank": "kingdom", "value": "ASIA"}, {"rank": "kingdom", "value": " EUROPE "},
          {"rank": "phylum", "value": "NATION_3"}, {"rank": "no_rank", "value": "x"},
          {"rank": "phylum", "value": "NATION_2"}, {"rank": "phylum", "value": "NATION_12"})
+CLICKED = Drill.start(DATASET).click("ASIA", DATASET).click("NATION_7", DATASET).down(DATASET)
 SELECTIONS = {
     "kingdom": ["ASIA", "EUROPE"],
     "phylum": ["NATION_2", "NATION_3", "NATION_12", "NATION_1"],
@@ -164,6 +165,8 @@ QUERIES: dict[str, Query] = {
         t.main, t.tags, replace(RANKS, share=ShareRange("SMALL", 12.5, 20.0)), DATASET, "phylum")),
     "composition_drill": _on_tables(lambda t: composition.composition_drill(
         t.main, t.tags, FilterSpec(), DATASET, DRILL[:3])),
+    "composition_clicked": _on_tables(lambda t: composition.composition_drill(
+        t.main, t.tags, RANKS, DATASET, CLICKED.steps, CLICKED.rank)),
     "composition_deepest": _on_tables(lambda t: composition.composition_drill(
         t.main, t.tags, FilterSpec.build(ranks={"kingdom": ["ASIA"], "phylum": ["NATION_2", "NATION_7", "NATION_12"]}),
         DATASET, [])),

@@ -280,6 +280,8 @@ ORACLE: dict[str, str] = {
         'ranked AS (SELECT biotype, CAST(ROW_NUMBER() OVER (ORDER BY "count" DESC, biotype) AS INTEGER) AS biotype_rank FROM totals)'),
     "composition_drill": _wide("SELECT * FROM comp", _composition(
         "wide", '"class"', "kingdom IN ('ASIA', 'EUROPE') AND phylum IN ('NATION_3')")),
+    "composition_clicked": _wide("SELECT * FROM comp", _composition(
+        "wide", '"order"', f"{KINGDOMS} AND kingdom IN ('AFRICA', 'ASIA', 'EUROPE') AND phylum = 'NATION_7'")),
     "composition_deepest": _wide("SELECT * FROM comp", _composition(
         "wide", "phylum", "kingdom = 'ASIA' AND phylum IN ('NATION_2', 'NATION_7', 'NATION_12')")),
     "kpi_summary": _kpi(KINGDOMS),

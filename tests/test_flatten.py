@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from facetspark.genome import GENOME, GENOME_SOURCE
 from facetspark.operators.flatten import build_all, build_children, build_main, build_tags, run_etl
-from facetspark.sources.tables import list_columns, open_table, read_columns, read_tables
+from facetspark.sources.tables import list_columns, open_table, read_columns, read_tables, shared_folder
 
 TAXON = "struct<kingdom:string,phylum:string,class:string,`order`:string,family:string,genus:string,species:string,tax_id:bigint>"
 ENTRY = ("struct<gene_biotype:string,gene_biotype_count:bigint,gene_biotype_percentage:double,"
@@ -138,3 +138,9 @@ def test_main_plan_has_no_shuffle_and_reads_wanted_columns_only(spark, source, t
     physical = plan[plan.index("== Physical Plan =="):]
     assert "Exchange" not in physical and "Python" not in physical
     assert "unused" not in physical and "gbif_occs" not in physical
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == named
+    assert named in spark.sparkContext.getCheckpointDir()

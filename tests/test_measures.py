@@ -87,7 +87,7 @@ def test_order_ignores_the_share_filter(main):
     assert got == {"b": 1, "a": 2, "c": 3}
 
 
-def test_drill_total_equals_its_parent(main):
+def test_drill_groups_by_the_next_rank(main):
     path = [{"rank": "kingdom", "value": "K1"}]
     child = composition.composition_drill(main, None, FilterSpec(), DS, path)
     assert [r["group"] for r in child.where("biotype = 'a'").collect()] == ["P1"]      # P2's total is null
