@@ -54,7 +54,7 @@ def cascaded_options(
     """(rank, value): each facet's values under the selections of broader facets.
 
     One scan serves all facets: each row offers its value for every facet whose
-    broader selections it satisfies.
+    broader selections it satisfies.  Capped lists come sorted, broad facets first.
     """
     require_columns(main, ds.facets)
     chosen = rank_selections(ds.facets, selections or {})
@@ -79,7 +79,7 @@ def cascaded_options(
     for group in (["rank", F.pmod(F.xxhash64("value"), F.lit(OPTION_SLICES))], ["rank"]):
         place = Window.partitionBy(*group).orderBy("value")
         options = options.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= limit).drop("_place")
-    return options
+    return options.orderBy(F.array_position(F.array(*map(F.lit, ds.facets)), F.col("rank")), "value")
 
 
 def tag_levels(tags: DataFrame, ds: DatasetSpec, limit: int = LEVEL_LIMIT) -> DataFrame:

@@ -115,7 +115,9 @@ def test_distinct_values_sorted_capped_and_as_text(main, tags):
 
 def test_cascade_restricts_by_broader_ranks_only(main, rows):
     picks = {"kingdom": ["K1"], "phylum": ["P0", "P1"]}
+    listed = [tuple(r) for r in options.cascaded_options(main, picks, DS).collect()]
     got = rows(options.cascaded_options(main, picks, DS))
+    assert listed == got                        # kingdom, phylum, tax_id happen to sort alike
     brute = [i for i in range(60) if i % 3 == 0]
     assert [v for r, v in got if r == "kingdom"] == ["K1", "K2"]
     assert [v for r, v in got if r == "phylum"] == sorted({f"P{i % 4}" for i in brute})
