@@ -30,14 +30,17 @@ def value_band(value: Column) -> Column:
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Per group: ``q0, q1, ..`` linearly interpolated, and ``n, lowest, highest``.
 
-    Only finite values count.  Groups without any are absent.
+    Only finite values count.  Groups without any, and null groups, are absent.
     """
     by = list(by)
+    # dropping nulls here, rather than leaving it to the join below, keeps both
+    # uses of the counts the same plan, so that their shuffle is done once
     counted = (
         df.select(*by, finite(F.col(value).cast("double")).alias("_v"))
-        .where(F.col("_v").isNotNull())
+        .dropna(subset=[*by, "_v"])
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_band", value_band(F.col("_v")))
+        .where(F.col("_band").isNotNull())
     )
     bands = counted.groupBy(*by, "_band").agg(
         F.sum("_n").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
