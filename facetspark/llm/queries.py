@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash
+from . import decontamination, mixing, packing, quality, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_compression_bands, op6_best_fit_packing, op8_source_mixing, op10_simhash_balls,
+    op1_compression_bands, op6_best_fit_packing, op8_source_mixing,
+    op9_benchmark_decontamination, op10_simhash_balls,
 )}
 
 ORACLE: dict[str, str] = {
@@ -65,5 +70,28 @@ WITH rows AS (
   FROM taken
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM counted
+""",
+    "op9_benchmark_decontamination": r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), held AS (
+  SELECT DISTINCT row, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM texts
+), parts AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+  FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x20\x09-\x0D]+') AS w FROM benchmark)
+), sized AS (
+  SELECT item_id, count(*) AS n FROM parts GROUP BY item_id
+), shared AS (
+  SELECT row, item_id, count(*) AS n FROM held JOIN parts USING (shingle) GROUP BY row, item_id
+), found AS (
+  SELECT row, s.item_id FROM shared s JOIN sized z ON s.item_id = z.item_id AND s.n * 5 >= z.n * 4
+), each AS (
+  SELECT row, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM found GROUP BY row
+)
+SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items
+FROM texts LEFT JOIN each USING (row)
 """,
 }
