@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, packing, quality, simhash
+from . import decontamination, kdtree, mixing, packing, quality, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_profile(documents(spark, sf_dir))
 
 
+def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.kd_shards(documents(spark, sf_dir), ("lang", "source", "n_chars", "doc_id"), shards=24)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -33,7 +37,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_compression_bands, op6_best_fit_packing, op8_source_mixing,
+    op1_compression_bands, op2_kd_tree_shards, op6_best_fit_packing, op8_source_mixing,
     op9_benchmark_decontamination, op10_simhash_balls,
 )}
 
