@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, kdtree, mixing, packing, quality, simhash
+from . import decontamination, kdtree, mixing, packing, pii, quality, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.kd_shards(documents(spark, sf_dir), ("lang", "source", "n_chars", "doc_id"), shards=24)
 
 
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_compression_bands, op2_kd_tree_shards, op6_best_fit_packing, op8_source_mixing,
+    op1_compression_bands, op2_kd_tree_shards, op4_weak_supervision_pii, op6_best_fit_packing, op8_source_mixing,
     op9_benchmark_decontamination, op10_simhash_balls,
 )}
 
