@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, kdtree, mixing, packing, pii, quality, simhash
+from . import debruijn, decontamination, kdtree, mixing, packing, pii, quality, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(documents(spark, sf_dir))
 
 
+def op5_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_spans(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -41,7 +45,8 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_compression_bands, op2_kd_tree_shards, op4_weak_supervision_pii, op6_best_fit_packing, op8_source_mixing,
+    op1_compression_bands, op2_kd_tree_shards, op4_weak_supervision_pii, op5_de_bruijn_spans,
+    op6_best_fit_packing, op8_source_mixing,
     op9_benchmark_decontamination, op10_simhash_balls,
 )}
 
