@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, decontamination, kdtree, mixing, packing, pii, quality, simhash
+from . import debruijn, decontamination, kdtree, mixing, packing, pii, quality, simhash, suffixes
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_difference_cover_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -46,7 +50,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_compression_bands, op2_kd_tree_shards, op4_weak_supervision_pii, op5_de_bruijn_spans,
-    op6_best_fit_packing, op8_source_mixing,
+    op6_best_fit_packing, op7_difference_cover_suffixes, op8_source_mixing,
     op9_benchmark_decontamination, op10_simhash_balls,
 )}
 
