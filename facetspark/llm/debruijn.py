@@ -250,7 +250,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     labelled = (by_text.select("row", "first", F.explode("found").alias("x")).select("row", "first", "x.nth", "x.edge")
                 .join(labels, "edge").groupBy("row", "first").agg(F.sort_array(F.collect_list(F.struct("nth", "path", "after", "n"))).alias("found")))
     walks = written(arrow_map(labelled, "row bigint, first bigint, path bigint, i int, j int", _walks))
-    least = walks.groupBy("path").agg(F.min("first").alias("least"))
+    least = written(walks.groupBy("path").agg(F.min("first").alias("least")))  # apart, so that the join can split a hot path
     settled = (walks.join(least, "path").where("least < first")
                .groupBy("row").agg(F.collect_list(F.struct("i", "j")).alias("walks")))
 
