@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, decontamination, kdtree, mixing, packing, pii, quality, simhash, suffixes
+from . import debruijn, decontamination, kdtree, masked_lm, mixing, packing, pii, quality, simhash, suffixes
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.kd_shards(documents(spark, sf_dir), ("lang", "source", "n_chars", "doc_id"), shards=24)
 
 
+def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_compression_bands, op2_kd_tree_shards, op4_weak_supervision_pii, op5_de_bruijn_spans,
+    op1_compression_bands, op2_kd_tree_shards, op3_masked_pseudo_likelihood, op4_weak_supervision_pii, op5_de_bruijn_spans,
     op6_best_fit_packing, op7_difference_cover_suffixes, op8_source_mixing,
     op9_benchmark_decontamination, op10_simhash_balls,
 )}
