@@ -1,0 +1,203 @@
+"""Quality rules, masked language model, personal data, packing."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+import tiktoken
+
+from facetspark.llm import masked_lm, packing, pii, quality
+
+
+def test_profile_against_plain_counts(docs_of, hard_rows):
+    docs = docs_of(hard_rows)
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    got = quality.compression_profile(docs).collect()
+    assert len(got) == len(hard_rows)
+
+    def plain(id_, text):
+        text = text or ""
+        words = word.findall(text)
+        windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+        covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)} if len(words) < 1000 else None
+        lines = [x for x in text.split("\n") if word.search(x)]
+        return id_, len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), covered and len(covered)
+
+    want = sorted(repr(plain(*r)[:5]) for r in hard_rows)
+    assert sorted(repr(tuple(r[:5])) for r in got) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.kept and r.base_failed)
+    small = [r for r in hard_rows if r[0] is not None and len((r[1] or "").split()) < 300]
+    found = {(r.doc_id, r.n_words): r.n_repeat_words for r in got}
+    for r in small:
+        counted = plain(*r)
+        assert found[r[0], counted[1]] == (counted[5] or 0)
+
+
+def test_bands_reject_noise_and_repetition():
+    judge = quality.Judge(quality.Rule())
+    rng = np.random.default_rng(1)
+    noise = " ".join(rng.bytes(30).hex() for _ in range(5)) + " " + " ".join(
+        "".join(chr(c) for c in rng.integers(33, 127, 12)) for _ in range(400))
+    letters = " ".join("".join(chr(c) for c in rng.integers(97, 123, rng.integers(2, 9))) for _ in range(500))
+    cycle = " ".join(f"w{i}" for i in range(40)) + " "
+    assert judge(noise.encode())[-1] is False
+    assert judge(letters.encode())[-1] is True
+    assert judge((cycle * 30).encode())[-1] is False
+    assert quality.in_band(100, 1.0, quality.BANDS) and not quality.in_band(50_000, 9.0, quality.BANDS)
+
+
+def test_keep_prose_keeps_columns_and_rows(docs_of, hard_rows):
+    docs = docs_of(hard_rows)
+    kept = quality.keep_prose(docs)
+    assert kept.columns == docs.columns
+    wanted = {r.doc_id for r in quality.compression_profile(docs).where("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == wanted
+    assert quality.keep_prose(docs.limit(0)).count() == 0
+
+
+@pytest.fixture
+def tiny():
+    return masked_lm.Setting(groups=8, other=8, window=2, width=12, rounds=3, stride=2, batch=256)
+
+
+def test_network_gradient(tiny):
+    rng = np.random.default_rng(0)
+    context, target = rng.integers(0, 65, (40, 4)), rng.integers(0, 64, 40)
+    net = masked_lm.Network(tiny)
+    before = net.log_likelihood(context, target).mean()
+    for _ in range(60):
+        net.step(context, target, 0.5)
+    assert net.log_likelihood(context, target).mean() > before + 0.5
+    every = np.stack([net.log_likelihood(context, np.full(40, t)) for t in range(64)])
+    assert np.allclose(np.exp(every).sum(0), 1, atol=1e-4)  # a distribution over all ids
+
+
+def test_masked_model_learns_order(spark, docs_of, tiny):
+    import random
+
+    rng = random.Random(2)
+    names = [f"t{i}" for i in range(40)]
+
+    def chain(n):
+        at = rng.randrange(40)
+        return " ".join(names[(at + i) % 40] for i in range(n))
+
+    docs = docs_of([(i, chain(60)) for i in range(120)])
+    words = masked_lm.vocabulary(docs.select("doc_id", "text"), tiny)
+    weights = masked_lm.train(docs, words, tiny)
+    held = docs_of([(1, chain(80)), (2, " ".join(rng.choice(names) for _ in range(80))), (3, ""), (None, None)])
+    got = {r.doc_id: r for r in masked_lm.score(held.select("doc_id", "text"), words, weights, tiny).collect()}
+    assert got[1].mean_log_likelihood > got[2].mean_log_likelihood + 0.3
+    assert got[1].log_likelihood == pytest.approx(80 * got[1].mean_log_likelihood)
+    assert got[3].n_tokens == 0 and got[3].mean_log_likelihood is None and got[None].log_likelihood == 0
+
+
+def test_scores_every_row_once(docs_of, hard_rows, tiny):
+    got = masked_lm.pseudo_likelihood(docs_of(hard_rows), setting=tiny).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r[0]) for r in hard_rows)
+    assert masked_lm.pseudo_likelihood(docs_of(hard_rows).limit(0), setting=tiny).count() == 0
+
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_base(text):
+    good = (lambda s: True, lambda s: all(int(p) <= 255 for p in s.split(".")),
+            lambda s: 14 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s)),
+            lambda s: 10 <= len(re.sub(r"\D", "", s)) <= 15)
+    found = [(m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if good[k](m[0])]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans_against_plain_patterns():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab.@@ +-1234567890()é") for _ in range(rng.randint(0, 70)))
+        assert pii._said(pii.base_spans(text)) == plain_base(text), text
+
+
+def test_base_spans_are_linear_on_long_runs():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+" + "1 " * 100_000, "a@" * 50_000, "1-" * 100_000):
+        pii.base_spans(text)
+        pii.wider_spans(text, [])
+
+
+def test_luhn():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_em_finds_the_better_labelers():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.4
+    right = np.stack([rng.random(4000) < a for a in (0.95, 0.9, 0.6, 0.85)], axis=1)
+    seen = np.where(right, truth[:, None], ~truth[:, None]).astype(int)
+    seen[rng.random(seen.shape) < 0.2] = -1
+    patterns, count = np.unique(seen, axis=0, return_counts=True)
+    model, _ = pii.expectation_maximisation(patterns, count)
+    assert np.abs(model.accuracy - (0.95, 0.9, 0.6, 0.85)).max() < 0.06 and abs(model.prior - 0.4) < 0.06
+
+
+def test_private_spans_add_secrets_and_keep_base(docs_of):
+    rows = [(i, f"plain words here token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and mail me.{i}@host.example.org or "
+                f"call +1 (555) 010-{i:04d} from 10.1.2.{i} thanks") for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "write a@b.co now"), (102, "nothing private here at all")]
+    got = {r.doc_id: r for r in pii.private_spans(docs_of(rows)).collect()}
+    texts = dict(rows)
+    for id_, r in got.items():
+        base = plain_base(texts[id_] or "")
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+    assert all("secret:" in got[i].spans for i in range(60))
+    assert got[100].spans == got[101].spans == got[102].spans == "" and got[None].n_email == 1
+    assert pii.private_spans(docs_of([(1, "no spans")])).first().spans == ""
+    assert pii.private_spans(docs_of(rows).limit(0)).count() == 0
+
+
+def test_packing_round_trip(docs_of, hard_rows):
+    layout = packing.Layout(length=128, block_tokens=1 << 12)
+    rows = packing.pack(docs_of(hard_rows), layout=layout).collect()
+    assert len({r.pack_id for r in rows}) == len(rows)
+    pieces = {}
+    for r in rows:
+        ids, places = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
+        assert len(ids) == len(places) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128
+        assert (ids[r.n_tokens:] == layout.pad_id).all()
+        for k, (a, b) in enumerate(zip(r.cu_seqlens, r.cu_seqlens[1:])):
+            assert (places[a:b] == np.arange(b - a)).all() and b > a
+            pieces.setdefault(r.doc_ids[k], []).append((r.starts[k], ids[a:b].tolist()))
+    encoding = packing.Coder(packing.TOKENIZER).encoding
+    assert isinstance(encoding, tiktoken.Encoding)
+    wanted = {}
+    for id_, text in hard_rows:
+        if text:
+            wanted.setdefault(id_, []).append(text)
+    assert set(pieces) == set(wanted)
+    for id_, parts in pieces.items():
+        if len(wanted[id_]) == 1:
+            ids = [t for _, part in sorted(parts) for t in part]
+            assert ids[-1] == layout.end_id and encoding.decode(ids[:-1]) == wanted[id_][0]
+    assert packing.pack(docs_of(hard_rows).limit(0)).count() == 0
+
+
+def test_best_fit_equals_plain_search():
+    rng = np.random.default_rng(4)
+    for length in (10, 64, 100):
+        sizes = rng.integers(1, length + 1, 300).tolist()
+        rows = packing.best_fit_decreasing(sizes, length)
+        free: list[int] = []
+        for size in sorted(sizes, reverse=True):
+            fits = [i for i, f in enumerate(free) if f >= size]
+            if fits:
+                best = min(fits, key=lambda i: free[i])
+                free[best] -= size
+            else:
+                free.append(length - size)
+        assert len(rows) == len(free)
+        assert sorted(length - sum(sizes[i] for i in row) for row in rows) == sorted(free)
+        assert sorted(i for row in rows for i in row) == list(range(300))
