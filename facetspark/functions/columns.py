@@ -41,6 +41,13 @@ def finite(col: Column) -> Column:
     return F.when((col > F.lit(float("-inf"))) & (col < F.lit(float("inf"))), col)
 
 
+def amount(df: DataFrame, name: str) -> Column:
+    """A number to be summed: NaN, infinities and text that does not parse become null."""
+    col = number(df, name)
+    exact = isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType))
+    return col if exact else finite(col.cast("double"))
+
+
 def row_sum(cols: Sequence[Column]) -> Column:
     """Sum across columns of one row, nulls counting as zero."""
     return reduce(add, [F.coalesce(c, F.lit(0)) for c in cols])

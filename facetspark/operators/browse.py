@@ -1,63 +1,158 @@
-"""Row browsing: pages, counts, links."""
+"""Row browsing: pages, counts, links.
+
+A page is a top-k of the filtered rows.  For the next page of a long walk give
+the cursor of the last one; for many pages anywhere in a large result write the
+numbered rows once with ``write_numbered``.  All three follow one order.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from decimal import Decimal, InvalidOperation
+from functools import reduce
+from operator import or_
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import is_number, markdown_link, named
-from ..sources.tables import shared_folder
-from ..spec import DatasetSpec, FilterSpec
+from ..spec import DatasetSpec, FilterSpec, integral_bounds
 from .filters import apply_filters, require_columns
-
-# Up to this many leading rows a page is a top-k: every task sends that many
-# rows at most to the last one.  Pages further back are cut from a numbered,
-# sorted copy.
-TOP_ROWS = 5_000
+from .leading import leading
 
 _ROW_BITS = 33                     # layout of monotonically_increasing_id
 
 
 class ColumnFilter(NamedTuple):
-    """A filter on one shown column: contains, equals, less, greater, between."""
+    """A filter on one shown column.
+
+    ``op`` is contains, not_contains, equals, not_equal, starts_with,
+    ends_with, blank, not_blank, less, at_most, greater, at_least or between.
+    Text is compared without regard to case.  A null is only found by blank,
+    and by not_contains and not_equal on text.
+    """
 
     column: str
     op: str
-    value: Any
+    value: Any = None
     upper: Any = None
 
 
+class Cursor(NamedTuple):
+    """The last shown row by its order, and how many rows equal to it have been shown."""
+
+    values: tuple
+    seen: int
+
+
 class Grid(NamedTuple):
     rows: DataFrame
     total: DataFrame
 
 
-def column_predicate(df: DataFrame, f: ColumnFilter) -> Column:
+TEXT_OPS = ("contains", "not_contains", "starts_with", "ends_with")
+ORDER_OPS = ("equals", "not_equal", "less", "at_most", "greater", "at_least", "between")
+
+
+def column_predicate(df: DataFrame, f: ColumnFilter) -> Column | None:
+    """The filter as a predicate; None when a number column is compared with something that is no number."""
     require_columns(df, [f.column])
+    dtype = df.schema[f.column].dataType
     col = named(f.column)
-    if f.op == "contains":
-        return F.contains(F.lower(col.cast("string")), F.lit(str(f.value).lower()))
-    value = F.lit(float(f.value)) if is_number(df.schema[f.column].dataType) else F.lit(f.value)
-    if f.op == "equals":
-        return col == value
-    if f.op == "less":
-        return col < value
-    if f.op == "greater":
-        return col > value
-    if f.op == "between":
-        upper = F.lit(float(f.upper)) if is_number(df.schema[f.column].dataType) else F.lit(f.upper)
-        return col.between(value, upper)
-    raise ValueError(f"unknown column filter {f.op!r}")
-
-
-def _order(keys: Sequence[str], ds: DatasetSpec) -> list[Column]:
-    """Sort columns, ``-name`` for descending, made total by the entity key."""
-    order = [named(k[1:]).desc_nulls_last() if k.startswith("-") else named(k).asc_nulls_last()
-             for k in keys]
-    return [*order, named(ds.key).asc_nulls_last()]
+    text = F.lower(col.cast("string"))
+    if f.op == "blank":
+        return col.isNull() | (F.trim(text) == "")
+    if f.op == "not_blank":
+        return F.trim(text) != ""
+    if f.op in TEXT_OPS:
+        wanted = F.lit(str(f.value).lower())
+        test = {"contains": F.contains, "not_contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}
+        found = test[f.op](text, wanted)
+        return F.coalesce(~found, F.lit(True)) if f.op == "not_contains" else found
+    if f.op not in ORDER_OPS:
+        raise ValueError(f"unknown column filter {f.op!r}")
+    if is_number(dtype):
+        return _number_predicate(col, dtype, f)
+    if isinstance(dtype, T.StringType):
+        return _compare(text, f.op, str(f.value).lower(), str(f.upper).lower(), null_differs=True)
+    return _compare(col, f.op, f.value, f.upper)
+
+
+def _compare(col: Column, op: str, value: Any, upper: Any, null_differs: bool = False) -> Column:
+    if op == "between":
+        return col.between(F.lit(value), F.lit(upper))
+    if op == "not_equal":
+        return F.coalesce(col != F.lit(value), F.lit(True)) if null_differs else col != F.lit(value)
+    test = {"equals": "__eq__", "less": "__lt__", "at_most": "__le__", "greater": "__gt__", "at_least": "__ge__"}
+    return getattr(col, test[op])(F.lit(value))
+
+
+def _number_predicate(col: Column, dtype: T.DataType, f: ColumnFilter) -> Column | None:
+    """Compares in the column's own type, so that nothing is cast, every digit counts and the scan sees it."""
+    try:
+        low = Decimal(str(f.value).strip())
+        high = Decimal(str(f.upper).strip()) if f.op == "between" else low
+    except InvalidOperation:
+        return None
+    limits = integral_bounds(dtype)
+    if limits is None or low.is_nan() or high.is_nan():
+        kind = (lambda x: x) if isinstance(dtype, T.DecimalType) else float
+        return _compare(col, f.op, kind(low), kind(high))
+
+    def whole(x: Decimal, up: bool) -> int:
+        if x.is_infinite():
+            return limits[1] + 1 if x > 0 else limits[0] - 1
+        return math.ceil(x) if up else math.floor(x)
+
+    # as [from, to] of whole numbers
+    first, last = limits
+    if f.op in ("equals", "between", "not_equal"):
+        first, last = whole(low, True), whole(high, False)
+    elif f.op in ("less", "at_most"):
+        last = whole(low, True) - 1 if f.op == "less" else whole(low, False)
+    else:
+        first = whole(low, False) + 1 if f.op == "greater" else whole(low, True)
+    first, last = max(first, limits[0]), min(last, limits[1])
+    if f.op == "not_equal":
+        return col.isNotNull() if first > last else col != F.lit(first)
+    if first > last:
+        return F.lit(False)
+    return col == F.lit(first) if first == last else col.between(F.lit(first), F.lit(last))
+
+
+def _order_keys(order_by: Sequence[str], ds: DatasetSpec, columns: Sequence[str]) -> list[tuple[str, bool]]:
+    """(column, descending): the sort keys, the entity key, then the shown columns.
+
+    Rows that are equal in all of these look the same, so it does not matter
+    which of them a page shows first.
+    """
+    keys = [(k[1:], True) if k.startswith("-") else (k, False) for k in order_by]
+    named_already = {k for k, _ in keys}
+    return keys + [(c, False) for c in dict.fromkeys([ds.key, *columns]) if c not in named_already]
+
+
+def _order(keys: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [named(c).desc_nulls_last() if down else named(c).asc_nulls_last() for c, down in keys]
+
+
+def _not_before(keys: Sequence[tuple[str, bool]], values: Sequence[Any]) -> Column:
+    """Rows at or after a place in the order.  The first test alone is implied, so that the scan can use it."""
+    def after(name: str, down: bool, value: Any) -> Column:
+        if value is None:
+            return F.lit(False)
+        return (named(name) < F.lit(value) if down else named(name) > F.lit(value)) | named(name).isNull()
+
+    equal, found = F.lit(True), []
+    for (name, down), value in zip(keys, values):
+        found.append(equal & after(name, down, value))
+        equal = equal & named(name).eqNullSafe(F.lit(value))
+    (name, down), value = keys[0], values[0]
+    first = named(name).isNull() if value is None else (
+        (named(name) <= F.lit(value) if down else named(name) >= F.lit(value)) | named(name).isNull())
+    return first & reduce(or_, [*found, equal])
 
 
 def matching_rows(
@@ -69,7 +164,8 @@ def matching_rows(
 ) -> DataFrame:
     rows = apply_filters(main, tags, spec, ds)
     for f in column_filters:
-        rows = rows.where(column_predicate(rows, f))
+        test = column_predicate(rows, f)
+        rows = rows if test is None else rows.where(test)
     return rows
 
 
@@ -83,55 +179,77 @@ def page_rows(
     page_size: int = 50,
     column_filters: Sequence[ColumnFilter] = (),
     order_by: Sequence[str] = (),
-    top_rows: int = TOP_ROWS,
+    after: Cursor | None = None,
 ) -> DataFrame:
     """One 1-based page of filtered rows, in the requested columns (B1, L1).
 
     Pages before the first count as the first; pages past the end are empty.
+    With ``after`` (see ``next_cursor``) the pages count from there, and what
+    lies before is not read again.
     """
     require_columns(main, columns)
-    start = (max(1, int(page)) - 1) * int(page_size)
+    keys = _order_keys(order_by, ds, columns)
     rows = matching_rows(main, tags, spec, ds, column_filters)
-    shown = [named(c) for c in columns]
-    if start + int(page_size) <= top_rows:
-        return rows.orderBy(*_order(order_by, ds)).offset(start).limit(int(page_size)).select(*shown)
-    needed = dict.fromkeys([*columns, *[k.lstrip("-") for k in order_by], ds.key])
-    numbered = number_rows(rows.select(*[named(c) for c in needed]), ds, order_by)
-    return page_of(numbered, page, page_size).select(*shown)
-
-
-def number_rows(rows: DataFrame, ds: DatasetSpec, order_by: Sequence[str] = ()) -> DataFrame:
-    """Rows with their 1-based ``row_no`` in the total order, for many or deep pages.
-
-    A range-partitioned sort, checkpointed so that every page is cut from the
-    same order; ``monotonically_increasing_id`` then holds each row's partition
-    and place in it, and adding the sizes of the earlier partitions numbers the
-    rows without gathering them anywhere.  Rows with equal sort keys are told
-    apart by their place in a first checkpoint, so copies of one key spread
-    over partitions, and a task that is run again sees the same places.
+    start = (max(1, int(page)) - 1) * int(page_size)
+    if after is not None:
+        rows = rows.where(_not_before(keys, after.values))
+        start += after.seen
+    rows = rows.select(*[named(c) for c in dict.fromkeys([*[k for k, _ in keys], *columns])])
+    order = _order(keys)
+    return (leading(rows, order, start + int(page_size)).orderBy(*order).offset(start)
+            .limit(int(page_size)).select(*[named(c) for c in columns]))
+
+
+def next_cursor(
+    shown: Sequence[Row | Mapping], ds: DatasetSpec, columns: Sequence[str], order_by: Sequence[str] = (), after: Cursor | None = None,
+) -> Cursor | None:
+    """Where the next page starts, from the collected rows of this one; None if it was empty.
+
+    The sort keys and the entity key must be among the shown columns.
     """
-    shared_folder(rows.sparkSession)
-    tied = rows.checkpoint().withColumn("_tie", F.monotonically_increasing_id())
-    placed = (
-        tied.orderBy(*_order(order_by, ds), F.col("_tie")).drop("_tie")
-        .withColumn("_id", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    names = [c for c, _ in _order_keys(order_by, ds, columns)]
+    hidden = [c for c in names if c not in columns]
+    if hidden:
+        raise ValueError(f"a cursor needs the columns {hidden} to be shown")
+    if not shown:
+        return None
+    values = [tuple(row[c] for c in names) for row in shown]
+    seen = next((n for n, v in enumerate(reversed(values)) if v != values[-1]), len(values))
+    if after is not None and seen == len(values) and after.values == values[-1]:
+        seen += after.seen
+    return Cursor(values[-1], seen)
+
+
+def write_numbered(rows: DataFrame, ds: DatasetSpec, path: str, order_by: Sequence[str] = ()) -> DataFrame:
+    """Write rows with their 1-based ``row_no`` in page order under ``path`` and open them.  Runs two jobs at once.
+
+    A range-partitioned sort is written first; ``monotonically_increasing_id``
+    then holds each row's partition and place in it, and adding the sizes of
+    the earlier partitions numbers the rows without gathering them anywhere.
+    Rows equal in every column are interchangeable and spread at random.
+    Pages are then read by ``page_of``, which reaches the row groups it needs.
+    """
+    order = [*_order(_order_keys(order_by, ds, rows.columns)), F.col("_tie")]
+    placed = rows.withColumn("_tie", F.rand(7)).orderBy(*order).drop("_tie").withColumn("_id", F.monotonically_increasing_id())
+    placed.write.mode("overwrite").parquet(f"{path}/sorted")
+    placed = rows.sparkSession.read.parquet(f"{path}/sorted")
     part = F.shiftright("_id", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     # one row per partition of the sort: as many as spark.sql.shuffle.partitions at most
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    return (
+    numbered = (
         placed.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
         .withColumn("row_no", F.col("_before") + F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1) + 1)
         .drop("_part", "_before", "_id")
     )
+    numbered.write.mode("overwrite").parquet(f"{path}/numbered")
+    return rows.sparkSession.read.parquet(f"{path}/numbered")
 
 
 def page_of(numbered: DataFrame, page: int, page_size: int) -> DataFrame:
-    """A page of rows numbered by ``number_rows``, in order."""
+    """A page of rows numbered by ``write_numbered``, in order."""
     start = (max(1, int(page)) - 1) * int(page_size)
     return (
         numbered.where(F.col("row_no").between(start + 1, start + int(page_size)))
@@ -161,8 +279,10 @@ def grid(
     columns: Sequence[str] | None = None,
     page: int = 1,
     page_size: int = 50,
+    column_filters: Sequence[ColumnFilter] = (),
+    order_by: Sequence[str] = (),
 ) -> Grid:
-    """What the table view shows: a page with links last, and the total (B2)."""
+    """What the table view shows: a page with links last, and the total, both under its column filters (B2)."""
     shown = ds.display_columns(main.columns, columns)
-    rows = page_rows(main, tags, spec, ds, shown, page, page_size)
-    return Grid(with_links(rows, ds), count_rows(main, tags, spec, ds))
+    rows = page_rows(main, tags, spec, ds, shown, page, page_size, column_filters, order_by)
+    return Grid(with_links(rows, ds), count_rows(main, tags, spec, ds, column_filters))

@@ -13,8 +13,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import named, number, real
-from ..spec import DatasetSpec, FilterSpec
+from ..functions.columns import amount, finite, named, real
+from ..spec import DatasetSpec, FilterSpec, known_steps
 from .filters import apply_filters, require_columns
 
 MISSING_GROUP = "NA"
@@ -51,7 +51,7 @@ def _totals(
     columns = _columns(main, count_columns, ds.count_columns(main.columns))
     names = [_measure(c, ds.count_suffix) for c in columns]
     rows = apply_filters(main, tags, spec, ds, apply_share)
-    sums = [F.coalesce(F.sum(number(rows, c)), F.lit(0)).alias(n) for c, n in zip(columns, names)]
+    sums = [F.coalesce(F.sum(amount(rows, c)), F.lit(0)).alias(n) for c, n in zip(columns, names)]
     return _long(rows.agg(*sums) if sums else rows, [], names, "biotype", "count")
 
 
@@ -90,7 +90,7 @@ def measure_means(
     rows = apply_filters(main, tags, narrow, ds)
 
     def summary(c: str) -> Column:
-        value = real(rows, c)
+        value = finite(real(rows, c))
         total = F.avg(value) if metric == "pct" and c.endswith(suffix) else F.sum(value)
         return F.coalesce(total, F.lit(0.0)).alias(_measure(c, suffix))
 
@@ -112,10 +112,10 @@ def _group_sums(
     columns = _columns(main, count_columns, ds.count_columns(main.columns))
     rows = apply_filters(main, tags, spec, ds)
     group = F.coalesce(named(rank).cast("string"), F.lit(MISSING_GROUP)).alias("group")
-    sums = [F.sum(F.coalesce(number(rows, c), F.lit(0))).cast("double").alias(c) for c in columns]
+    sums = [F.sum(F.coalesce(amount(rows, c), F.lit(0))).cast("double").alias(c) for c in columns]
     has_total = bool(ds.total and ds.total in main.columns)
     if has_total:
-        sums.append(F.sum(F.coalesce(number(rows, ds.total), F.lit(0))).cast("double").alias("_whole"))
+        sums.append(F.sum(F.coalesce(amount(rows, ds.total), F.lit(0))).cast("double").alias("_whole"))
     grouped = rows.groupBy(group).agg(*sums) if sums else rows.groupBy(group).count()
     if not has_total:
         whole = reduce(add, [named(c) for c in columns]) if columns else F.lit(0.0)
@@ -200,9 +200,10 @@ def composition_drill(
     """Composition below a drill path.
 
     The grouping is the given rank, else the one under the last step, else
-    (H3) the deepest filtered rank, else the broadest one.
+    (H3) the deepest filtered rank, else the broadest one.  Steps without a
+    known rank or a value count for nothing.
     """
-    last = path[-1]["rank"] if path else None
+    last = next((r for r, _ in reversed(known_steps(path, ds))), None)
     rank = rank or ds.next_rank(last) or last or spec.deepest_rank(ds) or ds.ranks[0]
     return composition(main, tags, spec.with_drill(path, ds), ds, rank)
 

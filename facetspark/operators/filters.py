@@ -112,35 +112,43 @@ def tag_rows(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
 def spread_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str) -> DataFrame:
     """Join ``left`` columns to ``right`` columns so that a hot key can be split.
 
-    Joining on the keys *and* their hash changes no row.  It makes both inputs
-    come straight from shuffles of this join's own, and lets no later grouping
-    by the keys count on them: the two conditions under which adaptive
-    execution may cut a hot key's left rows into several tasks.
+    Joining on the keys *and* their hash changes no row, as long as the keys'
+    types are the same, which is required.  It makes both inputs come straight
+    from shuffles of this join's own, and lets no later grouping by the keys
+    count on them: the two conditions under which adaptive execution may cut a
+    hot key's left rows into several tasks.
     """
+    for a, b in on.items():
+        same_type(left, a, right, b)
     equal = [named(a) == right[b] for a, b in on.items()]
     hashes = F.xxhash64(*[named(a) for a in on]) == F.xxhash64(*[right[b] for b in on.values()])
     return left.join(right, reduce(and_, equal) & hashes, how)
 
 
+def same_type(left: DataFrame, a: str, right: DataFrame, b: str) -> None:
+    """Keys of different types would be compared after a cast, or never match: refuse them."""
+    types = left.schema[a].dataType, right.schema[b].dataType
+    if types[0] != types[1]:
+        raise ValueError(f"keys {a!r} and {b!r} have different types: {types[0].simpleString()}, {types[1].simpleString()}")
+
+
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys of a table as ``_key``, each once; copies of a hot key collapse map-side."""
     return df.where(named(key).isNotNull()).select(named(key).alias("_key")).distinct()
 
 
-def keep_keys(
-    df: DataFrame, key: str, keys: DataFrame, keys_column: str, broadcast_most: int = 0,
-) -> DataFrame:
+def keep_keys(df: DataFrame, key: str, keys: DataFrame, keys_column: str, hot: bool = False) -> DataFrame:
     """Rows of ``df`` whose key is among ``keys`` (J1, J2, J3); never multiplies rows.
 
-    The optimizer and adaptive execution choose the join.  With
-    ``broadcast_most`` the keys are first counted, up to that many: if they are
-    no more, they are broadcast and ``df`` is not shuffled at all; if they are
-    more, the shuffled join stays.
+    The optimizer and adaptive execution choose the join.  An entity's key is
+    nearly unique, so entity tables are joined on the key alone, which can use
+    a layout by that key; ``hot`` is for tables with many rows of one key.
     """
     right = distinct_keys(keys, keys_column)
-    if broadcast_most > 0 and right.limit(broadcast_most + 1).count() <= broadcast_most:
-        right = F.broadcast(right)
-    return spread_join(df, right, {key: "_key"}, "left_semi")
+    if hot:
+        return spread_join(df, right, {key: "_key"}, "left_semi")
+    same_type(df, key, right, "_key")
+    return df.join(right, named(key) == right["_key"], "left_semi")
 
 
 def entities_with_tags(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
@@ -161,7 +169,7 @@ def apply_filters(
         return rows
     if tags is None:
         raise ValueError("tag filters need the tag table")
-    return keep_keys(rows, ds.key, tag_rows(tags, spec, ds), ds.tag_key, ds.broadcast_keys)
+    return keep_keys(rows, ds.key, tag_rows(tags, spec, ds), ds.tag_key)
 
 
 def read_filtered(

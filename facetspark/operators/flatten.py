@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import child, first_struct, named, or_null
-from ..sources.tables import FacetTables, existing, open_table, write_tables
+from ..sources.tables import FacetTables, existing, open_table, read_tables, write_tables
 from ..spec import DatasetSpec, SourceLayout
 
 
@@ -28,7 +28,7 @@ def build_main(source: DataFrame, layout: SourceLayout, ds: DatasetSpec) -> Data
     ]
     source = existing(source, wanted)
     front = [
-        _plain(source, layout.key, "string").alias(layout.key),
+        _key(source, layout),
         *_ranks(source, layout, ds),
         *[_plain(source, c, layout.plain_type).alias(c) for c in layout.plain],
         *_grid(source, layout),
@@ -39,6 +39,11 @@ def build_main(source: DataFrame, layout: SourceLayout, ds: DatasetSpec) -> Data
         *_grouped_stats(source, layout))
 
 
+def _key(source: DataFrame, layout: SourceLayout) -> Column:
+    """The entity key as text, in all three tables, whatever the source holds."""
+    return _plain(source, layout.key, "string").cast("string").alias(layout.key)
+
+
 def _plain(source: DataFrame, name: str, type_name: str) -> Column:
     return or_null(named(name) if name in source.columns else None, type_name)
 
@@ -165,7 +170,7 @@ def build_children(source: DataFrame, layout: SourceLayout) -> DataFrame:
             [], ", ".join(f"`{c}` string" for c in layout.child_columns))
     record_type = source.schema[layout.child_array].dataType.elementType
     records = source.select(
-        _plain(source, layout.key, "string").alias(layout.key),
+        _key(source, layout),
         F.explode(named(layout.child_array)).alias("_record"),
     ).where(F.col("_record").isNotNull())
 
@@ -207,7 +212,6 @@ def run_etl(
     ds: DatasetSpec,
     cluster_by: tuple[str, ...] = (),
 ) -> FacetTables:
-    """Read one nested source, write the three flat tables."""
-    tables = build_all(open_table(spark, source_path), layout, ds)
-    write_tables(tables, out_dir, ds, cluster_by)
-    return tables
+    """Read one nested source, write the three flat tables, open them (S6, E15).  Runs the jobs at once."""
+    write_tables(build_all(open_table(spark, source_path), layout, ds), out_dir, ds, cluster_by)
+    return read_tables(spark, out_dir, ds)

@@ -13,13 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, named, number, thousands
+from ..functions.columns import amount, finite, named, number, thousands
 from ..spec import DatasetSpec, FilterSpec
 from .composition import measure_totals
-from .filters import apply_filters, filter_rows, keep_keys, require_columns, spread_join, tag_rows
-
-
-LIST_SIZE = 1000
+from .filters import apply_filters, filter_rows, keep_keys, require_columns, tag_rows
 
 
 def matching_entities(
@@ -34,7 +31,7 @@ def matching_entities(
         return keys
     if tags is None:
         raise ValueError("tag filters need the tag table")
-    return keep_keys(keys, ds.key, tag_rows(tags, spec, ds), ds.tag_key, ds.broadcast_keys)
+    return keep_keys(keys, ds.key, tag_rows(tags, spec, ds), ds.tag_key)
 
 
 def tag_distinct_counts(
@@ -53,7 +50,7 @@ def _tag_counts(entities: DataFrame, tags: DataFrame, ds: DatasetSpec) -> DataFr
     kept = keep_keys(
         tags.where(level.isin(list(ds.tag_levels)) & value.isNotNull())
         .select(named(ds.tag_key), level.alias("level"), value.alias("value")),
-        ds.tag_key, entities, ds.key)
+        ds.tag_key, entities, ds.key, hot=True)
     counts = kept.select("level", "value").distinct().agg(*[
         F.count_if(F.col("level") == v).alias(v) for v in ds.tag_levels])
     return _as_rows(counts, ds.tag_levels, "level", "values")
@@ -70,7 +67,7 @@ def kpi_figures(
     """(figure, value) rows: distinct ranks, entities, tags, and the total (K1-K4)."""
     rows = apply_filters(main, tags, spec, ds)
     require_columns(main, ds.ranks)
-    total = number(rows, ds.total).cast("long") if ds.total and ds.total in main.columns else F.lit(0).cast("long")
+    total = amount(rows, ds.total).try_cast("long") if ds.total and ds.total in main.columns else F.lit(0).cast("long")
     offers = [F.struct(F.lit(r).alias("figure"), named(r).cast("string").alias("item"),
                        F.lit(None).cast("long").alias("amount")) for r in ds.ranks]
     offers.append(F.struct(F.lit("accessions").alias("figure"), named(ds.key).cast("string").alias("item"),
@@ -149,36 +146,35 @@ def breakpoints(ranges: DataFrame) -> DataFrame:
     )
 
 
+def _tags_of(tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec) -> DataFrame:
+    key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
+    wanted = tags.where(
+        key.isNotNull() & level.isNotNull() & level.isin([str(v) for v in levels]) & value.isNotNull())
+    return keep_keys(wanted.select(key, level, value), ds.tag_key, entities, ds.key, hot=True)
+
+
 def entity_tags(
     tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec,
 ) -> DataFrame:
     """Distinct (key, level, value) of the given entities."""
-    key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
-    wanted = tags.where(
-        key.isNotNull() & level.isNotNull() & level.isin([str(v) for v in levels]) & value.isNotNull())
-    return keep_keys(wanted.select(key, level, value).distinct(), ds.tag_key, entities, ds.key)
+    return _tags_of(tags, entities, levels, ds).distinct()
 
 
 def tags_by_entity(
-    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec, as_map: bool = False,
+    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec, as_map: bool = False, parts: int = 1,
 ) -> DataFrame:
     """(key, level, part, values): each entity's sorted tags per level.
 
-    Lists of up to ``LIST_SIZE`` values are one row with part 0.  A longer one
-    comes in as many parts as it needs, each sorted, values going to parts by
-    digest: nothing is left out, and no task holds more than a part.  With
-    ``as_map``, one row per entity and part with a level -> values map.
+    An entity's list is one row unless the caller asks for more ``parts``, as
+    entities with very many tags need; values then go to parts by digest, each
+    part sorted.  With ``as_map``, one row per entity and part with a
+    level -> values map.
     """
     key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
-    pairs = entity_tags(tags, entities, levels, ds)
-    long_lists = (
-        pairs.groupBy(key.alias("_key"), level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > LIST_SIZE).select("_key", "_level", F.ceil(F.col("_n") / LIST_SIZE).alias("_parts"))
-    )
     digest = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
-    split = spread_join(pairs, long_lists, {ds.tag_key: "_key", ds.tag_level: "_level"}, "left")
-    part = F.coalesce(digest % F.col("_parts"), F.lit(0)).alias("part")
-    lists = split.groupBy(key, level, part).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    part = (digest % parts if parts > 1 else F.lit(0).cast("long")).alias("part")
+    kept = _tags_of(tags, entities, levels, ds)
+    lists = kept.groupBy(key, level, part).agg(F.array_sort(F.collect_set(value)).alias("values"))
     if not as_map:
         return lists
     return lists.groupBy(key, "part").agg(

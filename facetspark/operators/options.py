@@ -1,8 +1,9 @@
 """Option lists: distinct values, cascades, pruning.
 
 Every distinct is a partial/final aggregate, so a value shared by a third of
-all rows costs one row per map task.  The caps are the feature itself (a menu
-shows at most so many entries): the smallest values in sort order are kept.
+all rows costs one row per map task.  Lists are complete unless the caller sets
+a limit; they then hold the smallest values in sort order and a column
+``more`` that says whether any were left out.
 """
 
 from __future__ import annotations
@@ -17,10 +18,18 @@ from pyspark.sql import functions as F
 from ..functions.columns import named
 from ..spec import DatasetSpec, FilterSpec, rank_selections
 from .filters import apply_filters, in_values, require_columns
+from .leading import leading
 
-VALUE_LIMIT = 5000
-LEVEL_LIMIT = 200
-OPTION_SLICES = 64
+
+def _listed(values: DataFrame, limit: int | None) -> DataFrame:
+    """Sorted values; with a limit the first of them and ``more``."""
+    if limit is None:
+        return values.orderBy("value")
+    # one more than asked for shows whether there are more; the windows see at most that many rows
+    place = F.row_number().over(Window.orderBy("value"))
+    few = leading(values, [F.col("value")], limit + 1).withColumn("_place", place)
+    more = F.max("_place").over(Window.partitionBy(F.lit(0))) > limit
+    return few.withColumn("more", more).where(F.col("_place") <= limit).drop("_place").orderBy("value")
 
 
 def distinct_values(
@@ -29,7 +38,7 @@ def distinct_values(
     ds: DatasetSpec,
     spec: FilterSpec = FilterSpec(),
     tags: DataFrame | None = None,
-    limit: int | None = VALUE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Sorted distinct non-null values, as text, under the filters."""
     require_columns(main, [column])
@@ -38,9 +47,8 @@ def distinct_values(
         .select(named(column).cast("string").alias("value"))
         .where(F.col("value").isNotNull())
         .distinct()
-        .orderBy("value")
     )
-    return values if limit is None else values.limit(limit)
+    return _listed(values, limit)
 
 
 def cascaded_options(
@@ -49,12 +57,12 @@ def cascaded_options(
     ds: DatasetSpec,
     spec: FilterSpec = FilterSpec(),
     tags: DataFrame | None = None,
-    limit: int | None = VALUE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """(rank, value): each facet's values under the selections of broader facets.
 
     One scan serves all facets: each row offers its value for every facet whose
-    broader selections it satisfies.  Capped lists come sorted, broad facets first.
+    broader selections it satisfies.  Sorted, broad facets first; with a limit there is ``more`` for each rank.
     """
     require_columns(main, ds.facets)
     chosen = rank_selections(ds.facets, selections or {})
@@ -72,37 +80,34 @@ def cascaded_options(
         .where(F.col("value").isNotNull())
         .distinct()
     )
+    broad_first = [F.array_position(F.array(*map(F.lit, ds.facets)), F.col("rank")), F.col("value")]
     if limit is None:
-        return options
-    # first per slice of a rank's values, then per rank: the last step sees a
-    # bounded number of rows even for a rank with billions of values
-    for group in (["rank", F.pmod(F.xxhash64("value"), F.lit(OPTION_SLICES))], ["rank"]):
-        place = Window.partitionBy(*group).orderBy("value")
-        options = options.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= limit).drop("_place")
-    return options.orderBy(F.array_position(F.array(*map(F.lit, ds.facets)), F.col("rank")), "value")
-
-
-def tag_levels(tags: DataFrame, ds: DatasetSpec, limit: int = LEVEL_LIMIT) -> DataFrame:
+        return options.orderBy(*broad_first)
+    # one more than asked for per slice of tasks, then per rank: the last step sees a bounded number of rows of each slice
+    slices = int(main.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    options = options.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
+    for group in (["rank", "_slice"], ["rank"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("value"))
+        options = options.withColumn("_place", place).where(F.col("_place") <= limit + 1)
+    more = F.max("_place").over(Window.partitionBy("rank")) > limit
+    options = options.withColumn("more", more).where(F.col("_place") <= limit).drop("_place", "_slice")
+    return options.orderBy(*broad_first)
+
+
+def tag_levels(tags: DataFrame, ds: DatasetSpec, limit: int | None = None) -> DataFrame:
     """Sorted distinct tag levels."""
-    return (
-        tags.select(named(ds.tag_level).cast("string").alias("value"))
-        .where(F.col("value").isNotNull())
-        .distinct().orderBy("value").limit(limit)
-    )
+    return _listed(
+        tags.select(named(ds.tag_level).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct(), limit)
 
 
 def tag_values(
-    tags: DataFrame, levels: Sequence[str] | None, ds: DatasetSpec, limit: int | None = VALUE_LIMIT,
+    tags: DataFrame, levels: Sequence[str] | None, ds: DatasetSpec, limit: int | None = None,
 ) -> DataFrame:
     """Sorted distinct tag values, under the selected levels if any."""
     if levels:
         tags = tags.where(named(ds.tag_level).isin([str(v) for v in levels]))
-    values = (
-        tags.select(named(ds.tag_value).cast("string").alias("value"))
-        .where(F.col("value").isNotNull())
-        .distinct().orderBy("value")
-    )
-    return values if limit is None else values.limit(limit)
+    return _listed(
+        tags.select(named(ds.tag_value).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct(), limit)
 
 
 def prune_selections(

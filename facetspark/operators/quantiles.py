@@ -1,30 +1,29 @@
 """Exact quantiles that no single task has to hold (used by R7).
 
 Spark's ``percentile`` keeps every distinct value of a group in one task.  Here
-the values are first counted (copies collapse map-side), then the few value
-bands holding the wanted positions are found from band sizes alone, and only
-those bands are ordered.
+the values are first counted (copies collapse map-side), a bounded sketch of
+each group cuts them into bands of about equal numbers of values, the few bands
+holding the wanted positions are found from exact band sizes, and only those
+are ordered.  The sketch decides how even the bands are, not the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 
-BANDS_PER_E_FOLD = 1024
+BANDS = 128
 
 
-def value_band(value: Column) -> Column:
-    """A non-decreasing whole-number function of a double: about 0.1% wide bands.
-
-    Values up to a million fall into some 14,000 bands, all doubles into 1.5
-    million, so the list of band sizes stays small however many rows there are.
-    """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BANDS_PER_E_FOLD)
+def banded(counted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add ``_band``: how many of the group's cut points lie below the value."""
+    cuts = counted.groupBy(*by).agg(F.approx_percentile(value, [i / BANDS for i in range(1, BANDS)]).alias("_cuts"))
+    return (counted.join(cuts, list(by))
+            .withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -39,9 +38,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
         df.select(*by, finite(F.col(value).cast("double")).alias("_v"))
         .dropna(subset=[*by, "_v"])
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", value_band(F.col("_v")))
-        .where(F.col("_band").isNotNull())
     )
+    counted = banded(counted, by, "_v")
     bands = counted.groupBy(*by, "_band").agg(
         F.sum("_n").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     whole = Window.partitionBy(*by)

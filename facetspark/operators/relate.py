@@ -11,10 +11,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import finite, named, number, per_thousand, real
 from ..spec import DatasetSpec, FilterSpec
 from .filters import read_filtered
+from .leading import leading
 from .quantiles import exact_quantiles
 
 SERIES = ("x_name", "series")
@@ -30,13 +32,14 @@ SIZE_QUANTILES = (0.05, 0.95)
 def stable_sample(rows: DataFrame, n: int, key_text: str, ds: DatasetSpec) -> DataFrame:
     """The same n rows for the same key text, on any cluster.
 
-    Rows are ranked by a digest of the text and their key; n <= 0 keeps all.
-    Each task keeps n candidates, so no full sort takes place.
+    Rows are ranked by a digest of the text and their key, rows of equal key by
+    all their sortable columns; n <= 0 keeps all.  No full sort takes place.
     """
     if n <= 0:
         return rows
     digest = F.md5(F.concat(F.lit(f"{key_text}#"), F.coalesce(named(ds.key).cast("string"), F.lit(""))))
-    return rows.orderBy(digest, named(ds.key)).limit(int(n))
+    ties = [named(f.name) for f in rows.schema if f.name != ds.key and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return leading(rows, [digest, named(ds.key), *ties], int(n))
 
 
 def measure_values(rows: DataFrame, measures: Sequence[str], metric: str, ds: DatasetSpec) -> dict[str, Column]:
@@ -156,6 +159,5 @@ def point_sizes(points: DataFrame, by: Sequence[str] = SERIES, total: str = "tot
     part = F.greatest(F.least((value - F.col("_lo")) / span, F.lit(1.0)), F.lit(0.0))
     scaled = F.when(value.isNotNull(), F.lit(SIZE_BASE) + F.lit(SIZE_GAIN) * F.sqrt(part))
     flat = F.col("n").isNull() | (F.col("n") < 2) | (F.col("_hi") <= F.col("_lo"))
-    # one stats row per plotted series: the caller's column lists bound their number
-    return points.join(F.broadcast(stats), same, "left").select(
+    return points.join(stats, same, "left").select(
         *points.columns, F.when(flat, F.lit(SIZE_DEFAULT)).otherwise(scaled).alias("size"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import markdown_link, thousands
 from ..operators import browse, composition, filters, kpi, options, relate
-from ..sources.tables import open_table
+from ..operators.flatten import build_main, build_tags, run_etl
+from ..sources.tables import open_table, shared_folder
 from ..spec import Drill, FilterSpec, ShareRange
 from . import fixtures
 from .fixtures import DATASET, MEASURES, published_tables
@@ -79,7 +82,7 @@ def _matching(t) -> DataFrame:
 
 def _measure_points(t, metric: str = "per1k", spec: FilterSpec = RANKS, cap: int = 0) -> DataFrame:
     return relate.measure_scatter(
-        t.main, t.tags, spec, DATASET, MEASURES[:3], XS, metric, point_cap=cap, cap_key="scatter")
+        t.main, t.tags, spec, DATASET, MEASURES, XS, metric, point_cap=cap, cap_key="scatter")
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -107,11 +110,73 @@ def _sizes(t) -> DataFrame:
     return _rounded(sized, 6, "size").select("accession", "x_name", "series", "total", "size")
 
 
+GRID_FILTERS = [
+    browse.ColumnFilter("phylum", "not_contains", "nation_1"), browse.ColumnFilter("phylum", "starts_with", "Nation"),
+    browse.ColumnFilter("kingdom", "not_equal", "africa"), browse.ColumnFilter("total_gene_biotypes", "not_blank"),
+    browse.ColumnFilter("tax_id", "at_least", "3.5"), browse.ColumnFilter("tax_id", "at_most", 1400), browse.ColumnFilter("accession", "ends_with", "7"),
+]
+
+
+def _typed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source's keys are whole numbers; the ETL makes both tables' keys text."""
+    def bare(source: DataFrame) -> DataFrame:
+        return source.withColumn("accession", F.substring("accession", 5, 20).cast("long"))
+
+    main = build_main(bare(fixtures.nested_entities(spark, sf_dir)), fixtures.SOURCE, DATASET)
+    tags = build_tags(bare(fixtures.nested_tags(spark, sf_dir)), fixtures.SOURCE, DATASET)
+    return filters.read_filtered(main, tags, TAGS, DATASET, SHOWN)
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older records: ranks and links as lists, null elements, each measure twice."""
+    source = fixtures.nested_entities(spark, sf_dir)
+    return build_main(source.withColumns({
+        "taxonomy": F.array("taxonomy"), "meta_urls": F.array("meta_urls"),
+        "gene_biotypes": F.concat(F.array(F.lit(None)), "gene_biotypes", F.array(F.lit(None)), "gene_biotypes"),
+    }), fixtures.SOURCE, DATASET)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written source through the whole ETL, its table as read back."""
+    folder = f"{shared_folder(spark)}/round-{spark.sparkContext.applicationId}-{crc32(sf_dir.encode()):08x}"
+    fixtures.nested_entities(spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/source.parquet")
+    return run_etl(spark, f"{folder}/source.parquet", folder, fixtures.SOURCE, DATASET, ("kingdom", "phylum")).main
+
+
+TIED = replace(DATASET, key="o_custkey")
+TIED_COLUMNS = ["o_custkey", "o_orderstatus", "o_orderkey"]
+
+
+def _tied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of rows whose key repeats, put together again."""
+    orders = open_table(spark, f"{sf_dir}/orders.parquet")
+    pages = [browse.page_rows(orders, None, FilterSpec(), TIED, TIED_COLUMNS, page, 70, order_by=["-o_orderstatus"]) for page in (1, 2, 3)]
+    return reduce(DataFrame.unionAll, pages)
+
+
+def _page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page by the first one's cursor."""
+    orders = open_table(spark, f"{sf_dir}/orders.parquet")
+    first = browse.page_rows(orders, None, FilterSpec(), TIED, TIED_COLUMNS, 1, 70, order_by=["-o_orderstatus"]).collect()
+    cursor = browse.next_cursor(first, TIED, TIED_COLUMNS, ["-o_orderstatus"])
+    return browse.page_rows(orders, None, FilterSpec(), TIED, TIED_COLUMNS, 1, 70, order_by=["-o_orderstatus"], after=cursor)
+
+
+def _with_nan(main: DataFrame) -> DataFrame:
+    nan = F.lit(float("nan"))
+    return main.withColumns({
+        "SMALL_count": F.when(F.col("tax_id") % 7 == 0, nan).otherwise(F.col("SMALL_count").cast("double")),
+        "total_gene_biotypes": F.when(F.col("tax_id") % 5 == 0, nan).otherwise(F.col("total_gene_biotypes").cast("double")),
+    })
+
+
 QUERIES: dict[str, Query] = {
     # ETL
     "etl_main": fixtures.flat_main,
     "etl_bridge": fixtures.flat_tags,
     "etl_children": fixtures.flat_children,
+    "etl_legacy": _legacy,
+    "etl_round_trip": _round_trip,
     # filters
     "filter_ranks": _filtered(RANKS),
     "filter_category": _filtered(
@@ -124,7 +189,10 @@ QUERIES: dict[str, Query] = {
     "filter_share_computed": _filtered(SHARE, drop=_shares()),
     "filter_share_no_total": _filtered(SHARE, drop=(*_shares(), "total_gene_biotypes")),
     "filter_tags": _filtered(TAGS),
-    "filter_tags_counted": _filtered(TAGS, dataset=replace(DATASET, broadcast_keys=100_000)),
+    "filter_tags_counted": lambda spark, sf: filters.keep_keys(
+        published_tables(spark, sf).main.select(*SHOWN), "accession",
+        filters.tag_rows(published_tables(spark, sf).tags, TAGS, DATASET), "accession"),
+    "filter_tags_typed_keys": _typed_keys,
     "filter_tags_empty": _filtered(FilterSpec.build(tag_levels=["realm"], tag_values=list(SUPPLIERS))),
     "filter_all": _filtered(ALL),
     "filter_drill": _filtered(FilterSpec().with_drill(DRILL, DATASET)),
@@ -134,7 +202,16 @@ QUERIES: dict[str, Query] = {
     # browsing
     "page_rows": _on_tables(lambda t: browse.page_rows(t.main, t.tags, RANKS, DATASET, SHOWN, page=2)),
     "page_deep": _on_tables(lambda t: browse.page_rows(
-        t.main, t.tags, RANKS, DATASET, SHOWN, page=9, top_rows=0)),
+        t.main, t.tags, RANKS, DATASET, SHOWN, page=9)),
+    "page_tied": _tied_pages,
+    "page_after": _page_after,
+    "page_numbered": lambda spark, sf: browse.page_of(browse.write_numbered(
+        published_tables(spark, sf).main.where(F.col("kingdom").isin(*KINGDOMS)).select(*SHOWN), DATASET,
+        f"{shared_folder(spark)}/numbered-{spark.sparkContext.applicationId}", ["-range_km2"]), 3, 20),
+    "grid_filtered_rows": _on_tables(lambda t: browse.grid(
+        t.main, t.tags, RANKS, DATASET, SHOWN, 1, 80, GRID_FILTERS, ["phylum", "-tax_id"]).rows),
+    "grid_filtered_total": _on_tables(lambda t: browse.grid(
+        t.main, t.tags, RANKS, DATASET, SHOWN, 1, 80, GRID_FILTERS, ["phylum", "-tax_id"]).total),
     "page_preset": _on_tables(lambda t: browse.page_rows(
         t.main, t.tags, RANKS, DATASET, _page_columns(t), page=1, page_size=100)),
     "page_links": _on_tables(lambda t: browse.grid(
@@ -164,12 +241,15 @@ QUERIES: dict[str, Query] = {
     "composition_ordered": _on_tables(lambda t: composition.composition_ordered(
         t.main, t.tags, replace(RANKS, share=ShareRange("SMALL", 12.5, 20.0)), DATASET, "phylum")),
     "composition_drill": _on_tables(lambda t: composition.composition_drill(
-        t.main, t.tags, FilterSpec(), DATASET, DRILL[:3])),
+        t.main, t.tags, FilterSpec(), DATASET, DRILL)),
     "composition_clicked": _on_tables(lambda t: composition.composition_drill(
         t.main, t.tags, RANKS, DATASET, CLICKED.steps, CLICKED.rank)),
     "composition_deepest": _on_tables(lambda t: composition.composition_drill(
         t.main, t.tags, FilterSpec.build(ranks={"kingdom": ["ASIA"], "phylum": ["NATION_2", "NATION_7", "NATION_12"]}),
         DATASET, [])),
+    "nan_totals": _on_tables(lambda t: composition.measure_totals(_with_nan(t.main), t.tags, RANKS, DATASET)),
+    "nan_composition": _on_tables(lambda t: composition.composition(_with_nan(t.main), t.tags, RANKS, DATASET, "kingdom")),
+    "nan_kpi": _on_tables(lambda t: kpi.kpi_summary(_with_nan(t.main), t.tags, RANKS, DATASET)),
     # headline figures
     "kpi_summary": _on_tables(lambda t: kpi.kpi_summary(t.main, t.tags, RANKS, DATASET)),
     "kpi_summary_filtered": _on_tables(lambda t: kpi.kpi_summary(t.main, t.tags, ALL, DATASET)),
@@ -187,6 +267,8 @@ QUERIES: dict[str, Query] = {
     # option lists
     "options_distinct": _on_tables(lambda t: options.distinct_values(t.main, "class", DATASET, ALL, t.tags)),
     "options_unfiltered": _on_tables(lambda t: options.distinct_values(t.main, "tax_id", DATASET)),
+    "options_limited": _on_tables(lambda t: options.distinct_values(t.main, "tax_id", DATASET, limit=100)),
+    "options_cascaded_limited": _on_tables(lambda t: options.cascaded_options(t.main, SELECTIONS, DATASET, limit=3)),
     "options_cascaded": _on_tables(lambda t: options.cascaded_options(t.main, SELECTIONS, DATASET)),
     "options_tag_levels": _on_tables(lambda t: options.tag_levels(t.tags, DATASET)),
     "options_tag_values": _on_tables(lambda t: options.tag_values(t.tags, ["realm", "biome"], DATASET)),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..genome import GENOME, GENOME_SOURCE
 from ..operators.flatten import build_children, build_main, build_tags
 from ..operators.quantiles import exact_quantiles
-from ..sources.tables import open_table, shared_folder, write_table
+from ..sources.tables import open_table, shared_folder, write_children, write_main, write_tags
 
 FOLD = 1000
 
@@ -71,16 +71,22 @@ def nested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     # per (customer, type) first: a customer with a third of all lines is a few
     # rows per map task, and the second step folds a handful of types
-    per_type = lines.groupBy("o_custkey", "p_type").agg(
+    # a part has one type, so the groups of the first step also count the parts
+    per_part = lines.groupBy("o_custkey", "p_type", "l_partkey").agg(
         F.count(F.lit(1)).alias("n"),
         *[f(e).alias(f"{v}_{s}") for v, e in grids.items()
           for s, f in (("sum", lambda c: F.sum(_cents(c))), ("max", F.max), ("min", F.min))],
-        F.max("l_partkey").alias("contig_n50"),
         F.count_if(F.col("l_returnflag") == "R").alias("coding_genes"),
         F.count_if(F.col("l_linestatus") == "O").alias("open_lines"),
     )
+    per_type = per_part.groupBy("o_custkey", "p_type").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("scaffold_count"), F.max("l_partkey").alias("contig_n50"),
+        *[f(f"{v}_{s}").alias(f"{v}_{s}") for v in grids for s, f in (("sum", F.sum), ("max", F.max), ("min", F.min))],
+        F.sum("coding_genes").alias("coding_genes"), F.sum("open_lines").alias("open_lines"),
+    )
     folded = per_type.groupBy("o_custkey").agg(
         F.sum("n").alias("lines"),
+        F.sum("scaffold_count").alias("scaffold_count"),
         F.collect_list(F.struct("p_type", "n")).alias("types"),
         *[f(f"{v}_{s}").alias(f"{v}_{s}") for v in grids
           for s, f in (("sum", F.sum), ("max", F.max), ("min", F.min))],
@@ -88,8 +94,6 @@ def nested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("coding_genes").alias("coding_genes"),
         F.sum("open_lines").alias("open_lines"),
     )
-    parts = lines.select("o_custkey", "l_partkey").distinct().groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("scaffold_count"))
     price = F.col("o_totalprice")
     areas = orders.groupBy("o_custkey").agg(
         (F.sum(_cents(price)) / 100).alias("range_km2"),
@@ -107,7 +111,7 @@ def nested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.col("n_regionkey") == F.col("r_regionkey"))
         .join(_table(spark, sf_dir, "pages", "page_id", "url"), F.col("c_custkey") == F.col("page_id"), "left")
     )
-    for side in (folded, parts, areas, medians):
+    for side in (folded, areas, medians):
         people = people.join(side.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
 
     key = F.col("c_custkey")
@@ -185,10 +189,8 @@ def nested_children(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("countryCode"),
         place.alias("gadm"),
     )
-    customers = _table(spark, sf_dir, "customer", "c_custkey")
     return (
         _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
-        .join(customers, F.col("user_id") == F.col("c_custkey"), "left_semi")
         .select("user_id", F.floor(F.col("event_id") / (FOLD // 2)).alias("fold"),
                 F.explode(F.array_repeat(record, copies)).alias("record"))
         .groupBy(_entity(F.col("user_id")).alias("accession"), "fold")
@@ -210,7 +212,7 @@ def flat_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class PublishedTables:
-    """The flat tables as Parquet, each written on first use in this application.
+    """The flat tables as Parquet, each written by a job when its attribute is first read in this application.
 
     Opening a table once keeps file listing and footer reads out of every query.
     """
@@ -220,24 +222,24 @@ class PublishedTables:
         application = spark.sparkContext.applicationId
         self._folder = f"{shared_folder(spark)}/facetspark-{application}/{crc32(sf_dir.encode()):08x}"
 
-    def _publish(self, flat: Callable[[SparkSession, str], DataFrame], file: str, cluster_by: tuple = ()) -> DataFrame:
+    def _publish(self, flat: Callable[[SparkSession, str], DataFrame], file: str, write: Callable, *more) -> DataFrame:
         path = f"{self._folder}/{file}"
         if path not in _written:
-            write_table(flat(self._spark, self._sf_dir), path, cluster_by)
+            write(flat(self._spark, self._sf_dir), self._folder, DATASET, *more)
             _written.add(path)
         return open_table(self._spark, path)
 
     @cached_property
     def main(self) -> DataFrame:
-        return self._publish(flat_main, DATASET.main_file, ("kingdom", "phylum", "class", DATASET.key))
+        return self._publish(flat_main, DATASET.main_file, write_main, ("kingdom", "phylum", "class"))
 
     @cached_property
     def tags(self) -> DataFrame:
-        return self._publish(flat_tags, DATASET.tag_file, (DATASET.tag_level, DATASET.tag_value, DATASET.tag_key))
+        return self._publish(flat_tags, DATASET.tag_file, write_tags)
 
     @cached_property
     def children(self) -> DataFrame:
-        return self._publish(flat_children, DATASET.child_file)
+        return self._publish(flat_children, DATASET.child_file, write_children)
 
 
 _written: set[str] = set()

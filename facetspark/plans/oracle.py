@@ -86,7 +86,7 @@ children AS (
          event_type AS gadm_level0_name, json_extract_string(props, '$.k') AS gadm_level1_name,
          CAST(NULL AS VARCHAR) AS gadm_level2_name, CAST(NULL AS VARCHAR) AS "institutionCode",
          CAST(NULL AS VARCHAR) AS "collectionCode", CAST(NULL AS VARCHAR) AS "catalogNumber"
-  FROM events WHERE user_id IN (SELECT c_custkey FROM customer)
+  FROM events
 )"""
 
 
@@ -111,10 +111,10 @@ def _composition(table: str, group: str, where: str = "TRUE", total: str = "tota
     return f"sums AS ({_sums(table, group, where, total)}), comp AS ({rows})"
 
 
-def _totals(where: str) -> str:
+def _totals(where: str, table: str = "wide") -> str:
     """A CTE ``totals``."""
     rows = " UNION ALL ".join(f"SELECT '{m}' AS biotype, COALESCE(\"{m}\", 0) AS \"count\" FROM allsums" for m in MEASURES)
-    return f"allsums AS ({_sums('wide', None, where)}), totals AS ({rows})"
+    return f"allsums AS ({_sums(table, None, where)}), totals AS ({rows})"
 
 
 SHOWN = 'accession, kingdom, tax_id, total_gene_biotypes, range_km2'
@@ -154,7 +154,7 @@ def _link(column: str) -> str:
     return f"CASE WHEN coalesce(trim({column}), '') = '' THEN '' ELSE '[' || {label} || '](' || {href} || ')' END"
 
 
-def _kpi(where: str) -> str:
+def _kpi(where: str, table: str = "wide", *more: str) -> str:
     ranks = ", ".join(f'COUNT(DISTINCT "{r}") AS "{r}"' for r in
                       ("kingdom", "phylum", "class", "order", "family", "genus", "species"))
     levels = ", ".join(
@@ -163,7 +163,7 @@ def _kpi(where: str) -> str:
     return _wide(
         f"SELECT {ranks}, COUNT(DISTINCT accession) AS accessions, {levels}, "
         f"CAST(COALESCE(SUM(total_gene_biotypes), 0) AS BIGINT) AS total_genes FROM hit",
-        TAGS, f"hit AS (SELECT * FROM wide WHERE {where})")
+        TAGS, *more, f"hit AS (SELECT * FROM {table} WHERE {where})")
 
 
 def _extents(columns: dict[str, str | None]) -> str:
@@ -203,9 +203,9 @@ def _points(metric: dict[str, str], where: str, table: str = "wide") -> str:
     return f"points AS (SELECT * FROM ({rows}) WHERE x IS NOT NULL AND y IS NOT NULL)"
 
 
-_PER1K = {m: f'CAST(1000 AS DOUBLE) * (CAST("{m}_count" AS DOUBLE) / NULLIF(total_gene_biotypes, 0))' for m in MEASURES[:3]}
-_RAW = {m: f'CAST("{m}_count" AS DOUBLE)' for m in MEASURES[:3]}
-_STORED = {m: f'CAST("{m}_percentage" AS DOUBLE)' for m in MEASURES[:3]}
+_PER1K = {m: f'CAST(1000 AS DOUBLE) * (CAST("{m}_count" AS DOUBLE) / NULLIF(total_gene_biotypes, 0))' for m in MEASURES}
+_RAW = {m: f'CAST("{m}_count" AS DOUBLE)' for m in MEASURES}
+_STORED = {m: f'CAST("{m}_percentage" AS DOUBLE)' for m in MEASURES}
 
 
 def _fit(x: str, y: str, digits: int) -> str:
@@ -215,6 +215,11 @@ def _fit(x: str, y: str, digits: int) -> str:
   WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 2 AND MIN({x}) < MAX({x})"""
 
 
+_GRID = (f"{KINGDOMS} AND NOT contains(lower(phylum), 'nation_1') AND starts_with(lower(phylum), 'nation') "
+         "AND lower(kingdom) <> 'africa' AND total_gene_biotypes IS NOT NULL AND tax_id BETWEEN 4 AND 1400 AND accession LIKE '%7'")
+_NAN = """holed AS (SELECT * REPLACE (
+    CASE WHEN tax_id % 7 <> 0 THEN CAST("SMALL_count" AS DOUBLE) END AS "SMALL_count",
+    CASE WHEN tax_id % 5 <> 0 THEN CAST(total_gene_biotypes AS DOUBLE) END AS total_gene_biotypes) FROM wide)"""
 _KPI_TOTALS = _totals(ALL_NO_SHARE)
 _ORDERED = f"""{KINGDOMS} AND CAST("SMALL_percentage" AS DOUBLE) BETWEEN 12.5 AND 20"""
 
@@ -222,6 +227,8 @@ ORACLE: dict[str, str] = {
     "etl_main": _wide("SELECT * FROM wide"),
     "etl_bridge": _with(TAGS) + "SELECT * FROM tags",
     "etl_children": _with(CHILDREN) + "SELECT * FROM children",
+    "etl_legacy": _wide("SELECT * FROM wide"),
+    "etl_round_trip": _wide("SELECT * FROM wide"),
     "filter_ranks": _shown(KINGDOMS),
     "filter_category": _shown("ena_assembly_level IN ('F', 'O')"),
     "filter_coerced": _shown("ena_scaffold_count IN (40, 41, 42)"),
@@ -233,6 +240,8 @@ ORACLE: dict[str, str] = {
         f"SELECT accession, kingdom, tax_id, range_km2 FROM wide WHERE {_share(_ALL_COUNTS)}"),
     "filter_tags": _shown(TAGGED, tags=True),
     "filter_tags_counted": _shown(TAGGED, tags=True),
+    "filter_tags_typed_keys": _wide(
+        f"SELECT substr(accession, 5) AS accession, kingdom, tax_id, total_gene_biotypes, range_km2 FROM wide WHERE {TAGGED}", TAGS),
     "filter_tags_empty": _shown(
         f"accession IN (SELECT accession FROM tags WHERE level = 'realm' AND value IN ({SUPPLIERS}))", tags=True),
     "filter_all": _shown(ALL, tags=True),
@@ -247,6 +256,14 @@ ORACLE: dict[str, str] = {
                                        f"AND value IN ('ASIA', 'NATION_3', {SUPPLIERS})",
     "page_rows": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} ORDER BY accession LIMIT 50 OFFSET 50"),
     "page_deep": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} ORDER BY accession LIMIT 50 OFFSET 400"),
+    "page_tied": "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders "
+                 "ORDER BY o_orderstatus DESC, o_custkey, o_orderkey LIMIT 210",
+    "page_after": "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders "
+                  "ORDER BY o_orderstatus DESC, o_custkey, o_orderkey LIMIT 70 OFFSET 70",
+    "page_numbered": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} "
+                           "ORDER BY range_km2 DESC NULLS LAST, accession LIMIT 20 OFFSET 40"),
+    "grid_filtered_rows": _wide(f"SELECT {SHOWN} FROM wide WHERE {_GRID} ORDER BY phylum, tax_id DESC LIMIT 80"),
+    "grid_filtered_total": _wide(f"SELECT COUNT(*) AS \"rows\" FROM wide WHERE {_GRID}"),
     "page_preset": _wide(f"SELECT {_PRESET}, biodiversity_portal, gbif FROM wide WHERE {KINGDOMS} "
                          "ORDER BY accession LIMIT 100"),
     "page_links": _wide(f"SELECT {_PRESET}, {_link('biodiversity_portal')} AS biodiversity_portal, "
@@ -279,11 +296,14 @@ ORACLE: dict[str, str] = {
         _composition("wide", "phylum", _ORDERED), _totals(KINGDOMS),
         'ranked AS (SELECT biotype, CAST(ROW_NUMBER() OVER (ORDER BY "count" DESC, biotype) AS INTEGER) AS biotype_rank FROM totals)'),
     "composition_drill": _wide("SELECT * FROM comp", _composition(
-        "wide", '"class"', "kingdom IN ('ASIA', 'EUROPE') AND phylum IN ('NATION_3')")),
+        "wide", '"class"', DRILLED)),
     "composition_clicked": _wide("SELECT * FROM comp", _composition(
         "wide", '"order"', f"{KINGDOMS} AND kingdom IN ('AFRICA', 'ASIA', 'EUROPE') AND phylum = 'NATION_7'")),
     "composition_deepest": _wide("SELECT * FROM comp", _composition(
         "wide", "phylum", "kingdom = 'ASIA' AND phylum IN ('NATION_2', 'NATION_7', 'NATION_12')")),
+    "nan_totals": _wide('SELECT biotype, "count" FROM totals', _NAN, _totals(KINGDOMS, "holed")),
+    "nan_composition": _wide("SELECT * FROM comp", _NAN, _composition("holed", "kingdom", KINGDOMS)),
+    "nan_kpi": _kpi(KINGDOMS, "holed", _NAN),
     "kpi_summary": _kpi(KINGDOMS),
     "kpi_summary_filtered": _kpi(ALL),
     "kpi_entities": _wide(f"SELECT DISTINCT accession FROM wide WHERE {ALL}", TAGS),
@@ -303,22 +323,22 @@ ORACLE: dict[str, str] = {
     "metric_extents": _wide(_extents({
         "ena_scaffold_count": "ENA: scaffold count", "ena_contig_n50": "ENA: contig N50",
         "ens_assembly_gc_percentage": "Assembly: GC %", "ens_coding_coding_genes": "Coding: genes"})),
-    "options_distinct": _wide(f'SELECT DISTINCT "class" AS value FROM wide WHERE {ALL} ORDER BY 1 LIMIT 5000', TAGS),
-    "options_unfiltered": _wide("SELECT DISTINCT CAST(tax_id AS VARCHAR) AS value FROM wide ORDER BY 1 LIMIT 5000"),
+    "options_distinct": _wide(f'SELECT DISTINCT "class" AS value FROM wide WHERE {ALL}', TAGS),
+    "options_unfiltered": _wide("SELECT DISTINCT CAST(tax_id AS VARCHAR) AS value FROM wide"),
+    "options_limited": _wide("SELECT DISTINCT CAST(tax_id AS VARCHAR) AS value, (SELECT COUNT(DISTINCT tax_id) FROM wide) > 100 AS more "
+                             "FROM wide ORDER BY 1 LIMIT 100"),
+    "options_cascaded_limited": _wide(
+        "SELECT \"rank\", value, n > 3 AS more FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY \"rank\" ORDER BY value) AS place, "
+        "COUNT(*) OVER (PARTITION BY \"rank\") AS n FROM cascade) WHERE place <= 3", f"cascade AS ({_cascade()})"),
     "options_cascaded": _wide(
-        "SELECT \"rank\", value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY \"rank\" ORDER BY value) AS place "
-        "FROM cascade) WHERE place <= 5000", f"cascade AS ({_cascade()})"),
-    "options_tag_levels": _with(TAGS) + "SELECT DISTINCT level AS value FROM tags ORDER BY 1 LIMIT 200",
-    "options_tag_values": _with(TAGS) + "SELECT DISTINCT value FROM tags WHERE level IN ('realm', 'biome') "
-                                        "ORDER BY 1 LIMIT 5000",
+        "SELECT \"rank\", value FROM cascade", f"cascade AS ({_cascade()})"),
+    "options_tag_levels": _with(TAGS) + "SELECT DISTINCT level AS value FROM tags",
+    "options_tag_values": _with(TAGS) + "SELECT DISTINCT value FROM tags WHERE level IN ('realm', 'biome')",
     "tags_by_entity": _wide(
         "SELECT accession, level, part, string_agg(value, '|' ORDER BY value) AS value_list FROM parted "
         "GROUP BY accession, level, part",
         TAGS, f"chosen AS (SELECT * FROM tags WHERE accession IN (SELECT accession FROM wide WHERE {KINGDOMS}))",
-        """counted AS (SELECT accession AS a, level AS l, COUNT(*) AS n FROM chosen GROUP BY 1, 2)""",
-        """parted AS (SELECT accession, level, value, CASE WHEN n <= 1000 THEN 0
-             ELSE CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % CAST(ceil(n / 1000.0) AS BIGINT) END AS part
-           FROM chosen JOIN counted ON accession = a AND level = l)"""),
+        """parted AS (SELECT accession, level, value, CAST(0 AS BIGINT) AS part FROM chosen)"""),
     "tags_of_entities": _wide(
         f"SELECT * FROM tags WHERE level IN ('biome', 'ecoregion') "
         f"AND accession IN (SELECT accession FROM wide WHERE {KINGDOMS})", TAGS),

@@ -98,16 +98,15 @@ def test_tags_need_one_row_matching_both(main, tags):
     assert sorted(r[0] for r in got.collect()) == ["A", "B"]
 
 
-@pytest.mark.parametrize("most,kind", [(1, "SortMergeJoin"), (10, "BroadcastHashJoin")])
-def test_counted_keys_are_broadcast_only_below_the_bound(spark, main, tags, most, kind):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        ds = replace(DS, broadcast_keys=most)
-        df = apply_filters(main, tags, FilterSpec.build(tag_values=["b1"]), ds)
-        assert kind in df._jdf.queryExecution().executedPlan().toString()
-        assert ids(df) == [1, 2, 6]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+@pytest.mark.parametrize("kind", ["string", "int", "long"])
+def test_keys_of_one_type_match_and_of_two_are_refused(spark, kind):
+    left = spark.createDataFrame([(1,), (2,), (3,)], "accession int").select(F.col("accession").cast(kind))
+    right = spark.createDataFrame([(2,), (3,), (3,)], "accession int")
+    same = right.select(F.col("accession").cast(kind))
+    for hot in (False, True):
+        assert sorted(str(r[0]) for r in filters.keep_keys(left, "accession", same, "accession", hot).collect()) == ["2", "3"]
+        with pytest.raises(ValueError):
+            filters.keep_keys(left, "accession", right.select(F.col("accession").cast("double")), "accession", hot)
 
 
 def test_everything_at_once(main, tags):
@@ -162,7 +161,7 @@ def final_plan(df):
 
 def test_hot_key_is_split_under_an_aggregate(hot):
     main, tags = hot
-    df = filters.keep_keys(main, "accession", tags, "accession").agg(
+    df = filters.keep_keys(main, "accession", tags, "accession", hot=True).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("payload").alias("d"), F.sum("tax_id").alias("s"))
     assert tuple(df.collect()[0]) == (60_000, 60_000, sum(range(60_000)))
     assert "skew=true" in final_plan(df)
@@ -170,7 +169,7 @@ def test_hot_key_is_split_under_an_aggregate(hot):
 
 def test_hot_key_is_split_even_before_grouping_by_it(hot):
     main, tags = hot
-    df = filters.keep_keys(main, "accession", tags, "accession").groupBy("accession").agg(
+    df = filters.keep_keys(main, "accession", tags, "accession", hot=True).groupBy("accession").agg(
         F.count(F.lit(1)).alias("n"), F.max("payload").alias("p"))
     assert max(r["n"] for r in df.collect()) == 20_000
     assert "skew=true" in final_plan(df)
@@ -178,7 +177,7 @@ def test_hot_key_is_split_even_before_grouping_by_it(hot):
 
 def test_hot_entity_is_split_when_its_tags_are_listed(hot):
     main, tags = hot
-    df = kpi.tags_by_entity(tags, main, ["realm"], DS)
+    df = kpi.tags_by_entity(tags, main, ["realm"], DS, parts=30)
     got = [(r["accession"], len(r["values"])) for r in df.collect()]
     assert sum(n for _, n in got) == tags.join(main, "accession", "left_semi").count()
     sizes = [n for k, n in got if k == "hot"]

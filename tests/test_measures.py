@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from facetspark.genome import GENOME
 from facetspark.operators import composition, kpi, relate
-from facetspark.operators.quantiles import exact_quantiles, value_band
+from facetspark.operators.quantiles import banded, exact_quantiles
 from facetspark.spec import FilterSpec
 
 DS = replace(GENOME, ranks=("kingdom", "phylum"), measures=("a", "b", "c"), tag_levels=("realm", "biome"))
@@ -154,16 +154,24 @@ def test_tags_by_entity(spark, tags):
     assert table(got) == [("A", 0, {"realm": ["r1"]}), ("B", 0, {"realm": ["r1", "r2"]})]
 
 
-def test_long_tag_lists_come_in_parts_and_are_whole(spark, monkeypatch):
-    monkeypatch.setattr(kpi, "LIST_SIZE", 10)
+def test_long_tag_lists_come_in_parts_and_are_whole(spark):
     rows = [("hot", "realm", f"v{i:03d}") for i in range(95)] * 2 + [("cold", "realm", f"v{i}") for i in range(10)]
     tags = spark.createDataFrame(rows, "accession string, level string, value string")
-    got = table(kpi.tags_by_entity(tags, tags, ["realm"], DS))
+    assert len(table(kpi.tags_by_entity(tags, tags, ["realm"], DS))) == 2
+    got = table(kpi.tags_by_entity(tags, tags, ["realm"], DS, parts=10))
     hot = [r for r in got if r[0] == "hot"]
     assert {r[2] for r in hot} == set(range(10)) and max(len(r[3]) for r in hot) < 30
     assert sorted(v for r in hot for v in r[3]) == [f"v{i:03d}" for i in range(95)]
     assert all(r[3] == sorted(r[3]) for r in hot)
-    assert [r[2] for r in got if r[0] == "cold"] == [0]
+    assert sorted(v for r in got if r[0] == "cold" for v in r[3]) == [f"v{i}" for i in range(10)]
+
+
+def test_tag_lists_take_one_pass(spark, tags, tmp_path):
+    tags.write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    plan = kpi.tags_by_entity(stored, spark.createDataFrame([("A",)], "accession string"), ["realm"], DS)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") <= 2 and text.count("Exchange") <= 4
 
 
 # ---- quantiles ------------------------------------------------------------------
@@ -186,11 +194,33 @@ def test_exact_quantiles_match_numpy(spark):
             assert row[f"q{i}"] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-15)
 
 
-def test_value_bands_do_not_decrease(spark):
-    values = sorted([0.0, -1.0, 1.0, 1e300, -1e300, 1e-300, 0.5, 3.7, 3.70001, 1e9, -2.5])
-    df = spark.createDataFrame([(v,) for v in values], "v double").select(value_band(F.col("v")).alias("b"))
-    bands = [r["b"] for r in df.collect()]
-    assert bands == sorted(bands)
+@pytest.mark.parametrize("low,high", [(0.0, 1e-4), (1e6 - 50, 1e6 + 50), (-1e300, 1e300)])
+def test_bands_split_any_range(spark, low, high):
+    values = [(0, low + (high / 1000 - low / 1000) * i) for i in range(1000)]
+    df = spark.createDataFrame(values, "g int, v double")
+    sizes = [r["count"] for r in banded(df, ["g"], "v").groupBy("_band").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) > 50 and max(sizes) < 40
+    row = exact_quantiles(df, ["g"], "v", [0.05, 0.5]).first()
+    assert [row["q0"], row["q1"]] == pytest.approx(np.quantile([v for _, v in values], [0.05, 0.5]))
+
+
+def test_nan_counts_for_nothing(spark):
+    rows = spark.createDataFrame([("a", "K", 1.0, float("nan")), ("b", "K", float("nan"), 4.0), ("c", "K", 2.0, float("inf"))],
+                                 "accession string, kingdom string, m_count double, total_gene_biotypes double")
+    ds = replace(GENOME, ranks=("kingdom",), measures=("m",), tag_levels=("realm",))
+    assert table(composition.measure_totals(rows, None, FilterSpec(), ds)) == [("m", 3.0)]
+    assert table(composition.composition(rows, None, FilterSpec(), ds, "kingdom")) == [("K", "m", 75.0)]
+    assert composition.measure_means(rows, None, FilterSpec(), ds, "count").first()["value"] == 3.0
+    figures = kpi.kpi_figures(rows, spark.createDataFrame([], "accession string, level string, value string"), FilterSpec(), ds)
+    assert dict(figures.collect())["total_genes"] == 4
+
+
+def test_drill_skips_steps_without_rank_or_value(spark):
+    rows = spark.createDataFrame([("a", "K", "P", 1.0)], "accession string, kingdom string, phylum string, m_count double")
+    ds = replace(GENOME, ranks=("kingdom", "phylum"), measures=("m",), total=None)
+    for odd in ({"rank": "nowhere", "value": "x"}, {"value": "x"}, {"rank": "phylum"}, {"rank": "phylum", "value": " "}):
+        got = composition.composition_drill(rows, None, FilterSpec(), ds, [{"rank": "kingdom", "value": "K"}, odd])
+        assert [r["group"] for r in got.collect()] == ["P"]
 
 
 # ---- relationships ---------------------------------------------------------------
