@@ -98,11 +98,11 @@ def kd_shards(docs: DataFrame, dims: Sequence[str], doc_id: str = "doc_id", text
     names = [f"d{n}" for n in range(len(dims))]
     rows = written(rows.select("doc_id", row_key("doc_id", "text").alias("key"),
                                (F.coalesce(F.octet_length("text"), F.lit(0)) + EMPTY_ROW_BYTES).cast("long").alias("size"),
-                               F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), *names))
+                               F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.lit(0).alias("lo"), *names))
     whole = rows.agg(F.sum("size").alias("size"), *[f(d).alias(f"{f.__name__}_{d}") for d in names for f in (F.min, F.max)]).first()
     if shards is None:
         shards = max(1, math.ceil((whole["size"] or 0) / target_bytes))
-    tree = rows.select("doc_id", "key", "size", "text_crc32", share_of("key").alias("u"), F.lit(0).alias("lo"), F.lit(shards).alias("leaves"),
+    tree = rows.select("doc_id", "key", "size", "text_crc32", share_of("key").alias("u"), "lo", F.lit(shards).alias("leaves"),
                        *[((F.col(d) - F.lit(whole[f"min_{d}"])) / F.lit((whole[f"max_{d}"] or 0) - (whole[f"min_{d}"] or 0) or 1.0)).alias(d)
                          for d in names])
     for _ in range(math.ceil(math.log2(shards))):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of, written
+from .common import arrow_map, row_key, texts_of, written
 from .components import components
 
 SHINGLE = 3
@@ -38,15 +38,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``doc_id``, ``fingerprint``) of every row; a text without words (or null) has fingerprint 0."""
+    """(``doc_id``, ``key``, ``fingerprint``) of every row; a text without words (or null) has fingerprint 0."""
     kind = dict(docs.dtypes)[doc_id]
 
     def table(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"),
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"),
                 "fingerprint": pa.array([fingerprint(t) for t in texts_of(batch)], pa.int64())}
 
-    return arrow_map(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")),
-                     f"doc_id {kind}, fingerprint bigint", table)
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    return arrow_map(rows.withColumn("key", row_key("doc_id", "text")), f"doc_id {kind}, key string, fingerprint bigint", table)
 
 
 def balls(fp: str) -> Column:
@@ -72,6 +72,17 @@ def links(prints: DataFrame) -> DataFrame:
     return (pairs.union(more).where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct())
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, key, fingerprint, root (a fingerprint of the group) and component_id of every row."""
+    prints = written(fingerprints(docs, doc_id, text))
+    each = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    roots = components(links(each))
+    named = each.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    named = named.withColumn("root", F.coalesce("root", "fingerprint"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of its group).
 
@@ -79,19 +90,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     null texts form one group (fingerprint 0).  Null ids take part but never
     name a group unless it has no other id; repeated rows stay repeated.
     """
-    prints = written(fingerprints(docs, doc_id, text))
-    each = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = components(links(each))
-    named = each.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    named = named.withColumn("root", F.coalesce("root", "fingerprint"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = named.join(ids, "root").select("fingerprint", "component_id")
-    return prints.join(of_print, "fingerprint").select(
+    return _grouped(docs, doc_id, text).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row with the least id (one row if it repeats)."""
-    best = near_duplicates(docs, doc_id, text).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    kept = docs.join(best.withColumnRenamed("doc_id", "_kept"), docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """The rows of ``docs`` without near-duplicates: of each group the row with the least id, null last, ties by text.
+
+    A row that repeats stays once.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = _grouped(docs, doc_id, text).groupBy("root").agg(F.min(rank).alias("_best")).select(F.col("_best.key").alias("_kept"))
+    kept = docs.withColumn("_row", row_key(doc_id, text)).join(best, F.col("_row") == F.col("_kept"), "left_semi")
+    return kept.dropDuplicates(["_row"]).drop("_row")

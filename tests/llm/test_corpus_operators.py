@@ -263,6 +263,8 @@ def test_near_duplicates_against_brute_force(docs_of, hard_rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted({repr(w[2]) for w in want})
+    unnamed = docs_of([(None, "one text of a few words"), (None, "quite another text instead"), (None, "one text of a few words"), (7, "x")])
+    assert sorted(r.text for r in simhash.keep_one(unnamed).collect()) == ["one text of a few words", "quite another text instead", "x"]
     assert simhash.near_duplicates(docs.limit(0)).count() == simhash.keep_one(docs.limit(0)).count() == 0
 
 
