@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
@@ -90,7 +92,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
     Only a local session, whose driver and executors are one machine, gets a
-    folder of its own when ``spark.checkpoint.dir`` is unset.
+    folder of its own when ``spark.checkpoint.dir`` is unset; it goes when
+    Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -100,6 +103,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="facetspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
