@@ -85,6 +85,11 @@ def _measure_points(t, metric: str = "per1k", spec: FilterSpec = RANKS, cap: int
         t.main, t.tags, spec, DATASET, MEASURES, XS, metric, point_cap=cap, cap_key="scatter")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """A limited, ordered result with each row's place in the output, which is one partition."""
+    return df.withColumn("position", F.monotonically_increasing_id())
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -203,6 +208,8 @@ QUERIES: dict[str, Query] = {
     "page_rows": _on_tables(lambda t: browse.page_rows(t.main, t.tags, RANKS, DATASET, SHOWN, page=2)),
     "page_deep": _on_tables(lambda t: browse.page_rows(
         t.main, t.tags, RANKS, DATASET, SHOWN, page=9)),
+    "page_placed": _on_tables(lambda t: _placed(browse.page_rows(
+        t.main, t.tags, RANKS, DATASET, SHOWN, page=2, page_size=20, order_by=["-range_km2"]))),
     "page_tied": _tied_pages,
     "page_after": _page_after,
     "page_numbered": lambda spark, sf: browse.page_of(browse.write_numbered(
@@ -256,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "kpi_entities": _on_tables(lambda t: kpi.matching_entities(t.main, t.tags, ALL, DATASET)),
     "kpi_tags": _on_tables(lambda t: kpi.tag_distinct_counts(t.main, t.tags, ALL, DATASET)),
     "kpi_top": _on_tables(lambda t: kpi.top_measures(t.main, t.tags, ALL, DATASET, k=3)),
+    "kpi_top_placed": _on_tables(lambda t: _placed(kpi.top_measures(t.main, t.tags, ALL, DATASET))),
     "kpi_top_text": _on_tables(lambda t: kpi.top_measures_text(t.main, t.tags, ALL, DATASET)),
     "extents": _on_tables(lambda t: kpi.extents(
         t.main, ["clim_bio1_mean", "clim_bio12_mean", "range_km2", "total_gene_biotypes", "no_such_column"])),

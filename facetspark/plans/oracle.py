@@ -256,6 +256,9 @@ ORACLE: dict[str, str] = {
                                        f"AND value IN ('ASIA', 'NATION_3', {SUPPLIERS})",
     "page_rows": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} ORDER BY accession LIMIT 50 OFFSET 50"),
     "page_deep": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} ORDER BY accession LIMIT 50 OFFSET 400"),
+    "page_placed": _wide(
+        f"SELECT *, ROW_NUMBER() OVER (ORDER BY range_km2 DESC NULLS LAST, accession) - 1 AS position FROM ("
+        f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} ORDER BY range_km2 DESC NULLS LAST, accession LIMIT 20 OFFSET 20)"),
     "page_tied": "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders "
                  "ORDER BY o_orderstatus DESC, o_custkey, o_orderkey LIMIT 210",
     "page_after": "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders "
@@ -311,6 +314,8 @@ ORACLE: dict[str, str] = {
         "SELECT level, COUNT(DISTINCT value) AS \"values\" FROM tags WHERE accession IN (SELECT accession FROM hit) GROUP BY level",
         TAGS, f"hit AS (SELECT * FROM wide WHERE {ALL})"),
     "kpi_top": _wide('SELECT biotype, "count" FROM totals ORDER BY "count" DESC, biotype LIMIT 3', TAGS, _KPI_TOTALS),
+    "kpi_top_placed": _wide('SELECT biotype, "count", ROW_NUMBER() OVER (ORDER BY "count" DESC, biotype) - 1 AS position '
+                            'FROM totals ORDER BY "count" DESC, biotype LIMIT 5', TAGS, _KPI_TOTALS),
     "kpi_top_text": _wide(
         "SELECT string_agg(biotype || ': ' || format('{:,}', CAST(\"count\" AS BIGINT)), ' • ' "
         "ORDER BY \"count\" DESC, biotype) AS text FROM totals", TAGS, _KPI_TOTALS),
