@@ -162,7 +162,7 @@ def _tied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page by the first one's cursor."""
     orders = open_table(spark, f"{sf_dir}/orders.parquet")
-    first = browse.page_rows(orders, None, FilterSpec(), TIED, TIED_COLUMNS, 1, 70, order_by=["-o_orderstatus"]).collect()
+    first = browse.page_rows(orders, None, FilterSpec(), TIED, TIED_COLUMNS, 1, 70, order_by=["-o_orderstatus"]).head(70)
     cursor = browse.next_cursor(first, TIED, TIED_COLUMNS, ["-o_orderstatus"])
     return browse.page_rows(orders, None, FilterSpec(), TIED, TIED_COLUMNS, 1, 70, order_by=["-o_orderstatus"], after=cursor)
 
