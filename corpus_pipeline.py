@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group, the one with the least id: fingerprints within 2 bits, or five-word Jaccard of 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

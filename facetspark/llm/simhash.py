@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, row_key, texts_of, written
 from .components import components
+from .jaccard import WIDTH, similar_links
 
 SHINGLE = 3
 SEED = 42
@@ -38,15 +39,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``doc_id``, ``key``, ``fingerprint``) of every row; a text without words (or null) has fingerprint 0."""
+    """(``doc_id``, ``key``, ``t``, ``fingerprint``) of every row; a text without words (or null) has fingerprint 0."""
     kind = dict(docs.dtypes)[doc_id]
 
     def table(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"),
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "t": batch.column("t"),
                 "fingerprint": pa.array([fingerprint(t) for t in texts_of(batch)], pa.int64())}
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return arrow_map(rows.withColumn("key", row_key("doc_id", "text")), f"doc_id {kind}, key string, fingerprint bigint", table)
+    rows = rows.withColumns({"key": row_key("doc_id", "text"), "t": F.xxhash64("text")})
+    return arrow_map(rows, f"doc_id {kind}, key string, t bigint, fingerprint bigint", table)
 
 
 def balls(fp: str) -> Column:
@@ -72,11 +74,21 @@ def links(prints: DataFrame) -> DataFrame:
     return (pairs.union(more).where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct())
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _similar(docs: DataFrame, prints: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
+    """Links (``a``, ``b``) between the fingerprints of texts whose shingles reach the similarity."""
+    found = similar_links(docs.select(F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")), similarity, width)
+    of = written(prints.join(found.select(F.col("a").alias("t")).union(found.select("b")).distinct(), "t", "left_semi")
+                 .groupBy("t").agg(F.min("fingerprint").alias("f")))
+    return (found.join(of.select(F.col("t").alias("a"), F.col("f").alias("_a")), "a")
+            .join(of.select(F.col("t").alias("b"), F.col("f").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float | None = None, width: int = WIDTH) -> DataFrame:
     """doc_id, key, fingerprint, root (a fingerprint of the group) and component_id of every row."""
     prints = written(fingerprints(docs, doc_id, text))
     each = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = components(links(each))
+    close = links(each)
+    roots = components(close if similarity is None else close.union(_similar(docs, prints, text, similarity, width)))
     named = each.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -94,12 +106,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least id, null last, ties by text.
 
-    A row that repeats stays once.
+    A row that repeats stays once.  With a ``similarity`` also texts whose
+    shingles of ``width`` words have that Jaccard similarity or more are
+    linked, however many bits their fingerprints differ in.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = _grouped(docs, doc_id, text).groupBy("root").agg(F.min(rank).alias("_best")).select(F.col("_best.key").alias("_kept"))
+    best = _grouped(docs, doc_id, text, similarity, width).groupBy("root").agg(F.min(rank).alias("_best")).select(F.col("_best.key").alias("_kept"))
     kept = docs.withColumn("_row", row_key(doc_id, text)).join(best, F.col("_row") == F.col("_kept"), "left_semi")
     return kept.dropDuplicates(["_row"]).drop("_row")

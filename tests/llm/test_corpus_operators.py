@@ -6,8 +6,9 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from facetspark.llm import debruijn, decontamination, kdtree, mixing, simhash, suffixes
+from facetspark.llm import debruijn, decontamination, jaccard, kdtree, mixing, simhash, suffixes
 from facetspark.llm.components import components
 
 
@@ -286,3 +287,44 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 100), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and got[100] == got[200] == 100 and 300 not in got
+
+
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_texts_against_brute_force(spark, docs_of, hard_rows):
+    """Every pair of Jaccard 0.8 or more is joined (a recall of 1), in a large bucket too, and nothing else is."""
+    rng = random.Random(8)
+    rows = list(hard_rows)
+    for n in range(3):
+        base = [f"w{rng.randrange(400)}" for _ in range(160)]
+        for i in range(60):
+            words = list(base)
+            for _ in range(rng.randint(1, 6)):
+                words[rng.randrange(160)] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 + 100 * n + i, " ".join(words)))
+    texts = list({t for _, t in rows if t and t.split()})
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
+    far = [(a, b) for a, b in pairs if (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() > 2]
+    assert len(far) > 300
+
+    def groups(edges):
+        root = list(range(len(texts)))
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    docs = docs_of(rows)
+    named = docs.select(F.xxhash64("text").alias("t"), "text")
+    place = {r.t: texts.index(r.text) for r in named.where("text is not null").distinct().collect() if r.text in texts}
+    found = [(place[r.a], place[r.b]) for r in jaccard.similar_links(named, 0.8).collect()]
+    assert set(found) <= {*pairs, *((b, a) for a, b in pairs)}
+    assert groups(found) == groups(pairs)
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() <= 2]
+    kept = simhash.keep_one(docs, similarity=0.8).collect()
+    assert len([r for r in kept if r.text in texts]) == len(set(groups(pairs + close)))
+    assert jaccard.similar_links(named.limit(0), 0.8).count() == 0
