@@ -201,3 +201,26 @@ def test_best_fit_equals_plain_search():
         assert len(rows) == len(free)
         assert sorted(length - sum(sizes[i] for i in row) for row in rows) == sorted(free)
         assert sorted(i for row in rows for i in row) == list(range(300))
+
+
+def test_bands_reject_base64_whole_and_in_part():
+    import base64
+    import random
+
+    judge, rng = quality.Judge(quality.Rule()), random.Random(3)
+    names = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choice(names) for _ in range(n // 6))[:n].encode()
+
+    def encoded(n, width):
+        data = base64.b64encode(rng.randbytes(n))[:n]
+        return b"\n".join(data[i:i + width] for i in range(0, n, width))
+
+    assert judge(prose(4000))[-1] and judge(prose(60_000))[-1]
+    for width in (76, 4000, 4095):
+        assert not judge(encoded(220_000, width))[-1]
+        assert not judge(prose(60_000) + b"\n" + encoded(40_000, width))[-1]
+        assert not judge(prose(90_000) + b"\n" + encoded(10_000, width))[-1]
+    for n in (512, 1024, 2048, 4096):
+        assert not quality.in_band(n, judge.ratio(encoded(n, n)), quality.BANDS)
