@@ -3,7 +3,9 @@
 Shingles get one order over the corpus, rarer ones first by the counts of a
 fixed number of hash cells.  Two sets of similarity s share one of the first
 n - ceil(s n) + 1 shingles of either in whichever order, so the cells decide
-only how many candidates there are, never which pairs are found.
+only how many candidates there are, never which pairs are found.  The same
+holds for bitmaps of the sets: they differ in no more bits than the sets do in
+shingles, and only pairs that pass are compared on the shingles.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .components import components
 WIDTH = 5
 CELLS = 1 << 18
 PARTS = 64
+BITS = 1024
 #: Pivots of a bucket in the first round, and how many times as many there are after each further one.
 FIRST, GROWTH = 8, 4
 _MILLION = 1_000_000
@@ -40,6 +43,12 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
+def _bitmap(held: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, np.uint8)
+    bits[(held >> np.uint64(32)).astype(np.int64) % BITS] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _cells(texts: DataFrame, width: int) -> np.ndarray:
     """How many shingles fall into each cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +89,11 @@ def _members(texts: DataFrame, least: int, width: int) -> DataFrame:
                     order = np.lexsort((held, counts[(held % np.uint64(CELLS)).astype(np.int64)]))[:first]
                     buckets.append(held[order].view(np.int64))
                     owners.append(np.full(len(order), t, np.int64))
-                    sizes.append(np.full(len(order), n, np.int32))
+                    sizes.append(np.full(len(order), n, np.int64))
             if buckets:
                 yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "t", "size"), map(np.concatenate, (buckets, owners, sizes)))))
 
-    found = texts.mapInArrow(run, "bucket bigint, t bigint, size int").repartition("bucket").distinct()
+    found = texts.mapInArrow(run, "bucket bigint, t bigint, size bigint").repartition("bucket").distinct()
     return written(found.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
 
 
@@ -97,18 +106,25 @@ def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> Da
     """
     least = round(similarity * _MILLION)
     members = _members(texts, least, width)
-    wanted = texts.join(members.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
-    sets = written(arrow_map(wanted, "t bigint, held array<bigint>", lambda batch: {
-        "t": batch.column("t"), "held": pa.array([shingles(x, width).view(np.int64) for x in texts_of(batch)], pa.list_(pa.int64()))}))
+    maps = arrow_map(texts, "t bigint, bits array<bigint>", lambda batch: {
+        "t": batch.column("t"), "bits": pa.array([_bitmap(shingles(x, width)) for x in texts_of(batch)], pa.list_(pa.int64()))})
+    maps = written(maps.dropDuplicates(["t"]).join(members.select("t").distinct(), "t", "left_semi"))
     at = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
     members = members.withColumn("root", F.col("t"))
     links, before, limit = None, 0, FIRST
     while True:
         pivots = members.where((at >= before) & (at < limit)).select("bucket", F.col("t").alias("p"), F.col("root").alias("_root"), F.col("size").alias("_size"))
-        close = (F.col("size") * _MILLION >= F.col("_size").cast("long") * least) & (F.col("_size") * _MILLION >= F.col("size").cast("long") * least)
-        pairs = written(members.join(pivots, "bucket").where((F.col("root") != F.col("_root")) & close)
-                        .select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b")).distinct())
-        one, two = sets.select(F.col("t").alias("a"), F.col("held").alias("_a")), sets.select(F.col("t").alias("b"), F.col("held").alias("_b"))
+        close = (F.col("size") * _MILLION >= F.col("_size") * least) & (F.col("_size") * _MILLION >= F.col("size") * least)
+        met = (members.join(pivots, "bucket").where((F.col("root") != F.col("_root")) & close)
+               .select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b"), (F.col("size") + F.col("_size")).alias("sizes")).distinct())
+        of = {c: maps.select(F.col("t").alias(c), F.col("bits").alias(f"_{c}")) for c in "ab"}
+        apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y).cast("long")
+        pairs = written(met.join(of["a"], "a").join(of["b"], "b").where(
+            apart * (_MILLION + least) <= (F.col("sizes") * (_MILLION - least))).select("a", "b"))
+        wanted = texts.join(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "t", "left_semi")
+        sets = written(arrow_map(wanted, "t bigint, held array<bigint>", lambda batch: {
+            "t": batch.column("t"), "held": pa.array([shingles(x, width).view(np.int64) for x in texts_of(batch)], pa.list_(pa.int64()))}).dropDuplicates(["t"]))
+        one, two = (sets.select(F.col("t").alias(c), F.col("held").alias(f"_{c}")) for c in "ab")
         shared = F.size(F.array_intersect("_a", "_b")).cast("long")
         new = (pairs.join(one, "a").join(two, "b")
                .where(shared * (_MILLION + least) >= (F.size("_a") + F.size("_b")).cast("long") * least).select("a", "b"))

@@ -305,6 +305,8 @@ def test_similar_texts_against_brute_force(spark, docs_of, hard_rows):
             for _ in range(rng.randint(1, 6)):
                 words[rng.randrange(160)] = f"new{rng.randrange(10**6)}"
             rows.append((1000 + 100 * n + i, " ".join(words)))
+    long = " ".join(f"w{rng.randrange(4000)}" for _ in range(3000))
+    rows += [(2000, long), (2001, long + " one end"), (2002, long.upper() + " another end")]
     texts = list({t for _, t in rows if t and t.split()})
     sets = [plain_shingles(t) for t in texts]
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
