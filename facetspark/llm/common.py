@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """The texts as UTF-8, null as empty, one at a time."""
     for value in batch.column(column):
         yield (value.as_py() or "").encode()
+
+
+def equal_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of a sorted partition, one table for each run of equal keys, however the batches cut it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        if held and held[-1].column(key)[-1] != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = (np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
