@@ -35,7 +35,7 @@ RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.in
 
 
 class Least(NamedTuple):
-    """The least length of a run: ``words``, and ``periods`` times its period (at least 2)."""
+    """The least length of a run: ``words`` (4 or more), and ``periods`` (3 or more) times its period."""
 
     words: int = 6
     periods: int = 4
@@ -226,6 +226,8 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     without words has no runs and an empty ``collapsed``; repeated rows and
     rows without id stay as they are.  Other columns are not read.
     """
+    if least.words < 4 or least.periods < 3:
+        raise ValueError("runs take four words and three periods at least")
     kind = dict(docs.dtypes)[doc_id]
 
     def group(ids: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:

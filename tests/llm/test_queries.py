@@ -16,7 +16,7 @@ def normal(frame):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert QUERIES.items() <= entry.queries().items() and ORACLE.items() <= entry.oracle_sql().items()
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
@@ -24,7 +24,7 @@ def test_registered():
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_query_equals_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     assert normal(QUERIES[name](spark, sf_dir).toPandas()) == normal(con.execute(ORACLE[name]).df())
 
