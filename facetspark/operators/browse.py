@@ -1,7 +1,8 @@
 """Row browsing: pages, counts, links.
 
-A page is a top-k of the filtered rows.  For the next page of a long walk give
-the cursor of the last one; for many pages anywhere in a large result write the
+A page is a stretch of the ordered rows, selected by thresholds (``leading``) so
+that only what it shows is sorted.  For the next page of a long walk give the
+cursor of the last one; for many pages anywhere in a large result write the
 numbered rows once with ``write_numbered``.  All three follow one order.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions.columns import is_number, markdown_link, named
 from ..spec import DatasetSpec, FilterSpec, integral_bounds
 from .filters import apply_filters, require_columns
-from .leading import leading
+from .leading import HEARD, Key, between
 
 _ROW_BITS = 33                     # layout of monotonically_increasing_id
 
@@ -41,11 +42,24 @@ class ColumnFilter(NamedTuple):
     upper: Any = None
 
 
+class AnyOf(NamedTuple):
+    """Column filters of which one has to hold, such as the two conditions of one column joined by OR."""
+
+    filters: tuple[ColumnFilter | AnyOf, ...]
+
+
 class Cursor(NamedTuple):
-    """The last shown row by its order, and how many rows equal to it have been shown."""
+    """The last shown row by its order, and how many rows equal to it have been shown.
+
+    A page of nothing but equal rows, that isn't the first, doesn't tell how
+    many of them came before it.  ``seen`` is then None; ``shown`` rows have
+    been shown since ``base`` (None: since the start), and the next page counts.
+    """
 
     values: tuple
-    seen: int
+    seen: int | None
+    shown: int = 0
+    base: Cursor | None = None
 
 
 class Grid(NamedTuple):
@@ -57,8 +71,14 @@ TEXT_OPS = ("contains", "not_contains", "starts_with", "ends_with")
 ORDER_OPS = ("equals", "not_equal", "less", "at_most", "greater", "at_least", "between")
 
 
-def column_predicate(df: DataFrame, f: ColumnFilter) -> Column | None:
-    """The filter as a predicate; None when a number column is compared with something that is no number."""
+def column_predicate(df: DataFrame, f: ColumnFilter | AnyOf) -> Column | None:
+    """The filter as a predicate; None when a number column is compared with something that is no number.
+
+    Alternatives that come to None are left out; if all do, so does the whole.
+    """
+    if isinstance(f, AnyOf):
+        tests = [t for t in (column_predicate(df, one) for one in f.filters) if t is not None]
+        return reduce(or_, tests) if tests else None
     require_columns(df, [f.column])
     dtype = df.schema[f.column].dataType
     col = named(f.column)
@@ -134,25 +154,21 @@ def _order_keys(order_by: Sequence[str], ds: DatasetSpec, columns: Sequence[str]
     return keys + [(c, False) for c in dict.fromkeys([ds.key, *columns]) if c not in named_already]
 
 
-def _order(keys: Sequence[tuple[str, bool]]) -> list[Column]:
-    return [named(c).desc_nulls_last() if down else named(c).asc_nulls_last() for c, down in keys]
+def _sort_keys(keys: Sequence[tuple[str, bool]]) -> list[Key]:
+    return [Key(named(c), down) for c, down in keys]
 
 
-def _not_before(keys: Sequence[tuple[str, bool]], values: Sequence[Any]) -> Column:
-    """Rows at or after a place in the order.  The first test alone is implied, so that the scan can use it."""
-    def after(name: str, down: bool, value: Any) -> Column:
-        if value is None:
-            return F.lit(False)
-        return (named(name) < F.lit(value) if down else named(name) > F.lit(value)) | named(name).isNull()
+def _not_before(keys: Sequence[Key], values: Sequence[Any], strictly: bool = False) -> Column:
+    """Rows at or after a place in the order, or strictly ``before`` it if so asked.
 
+    What the first key alone implies is named too, so that the scan can use it.
+    """
     equal, found = F.lit(True), []
-    for (name, down), value in zip(keys, values):
-        found.append(equal & after(name, down, value))
-        equal = equal & named(name).eqNullSafe(F.lit(value))
-    (name, down), value = keys[0], values[0]
-    first = named(name).isNull() if value is None else (
-        (named(name) <= F.lit(value) if down else named(name) >= F.lit(value)) | named(name).isNull())
-    return first & reduce(or_, [*found, equal])
+    for key, value in zip(keys, values):
+        found.append(equal & (key.before(value) if strictly else key.after(value)))
+        equal = equal & key.equals(value)
+    first = keys[0].reach(values[0], strictly)
+    return first & reduce(or_, found if strictly else [*found, equal])
 
 
 def matching_rows(
@@ -160,7 +176,7 @@ def matching_rows(
     tags: DataFrame | None,
     spec: FilterSpec,
     ds: DatasetSpec,
-    column_filters: Sequence[ColumnFilter] = (),
+    column_filters: Sequence[ColumnFilter | AnyOf] = (),
 ) -> DataFrame:
     rows = apply_filters(main, tags, spec, ds)
     for f in column_filters:
@@ -177,35 +193,50 @@ def page_rows(
     columns: Sequence[str],
     page: int = 1,
     page_size: int = 50,
-    column_filters: Sequence[ColumnFilter] = (),
+    column_filters: Sequence[ColumnFilter | AnyOf] = (),
     order_by: Sequence[str] = (),
     after: Cursor | None = None,
+    heard: int = HEARD,
 ) -> DataFrame:
     """One 1-based page of filtered rows, in the requested columns (B1, L1).
 
     Pages before the first count as the first; pages past the end are empty.
     With ``after`` (see ``next_cursor``) the pages count from there, and what
-    lies before is not read again.
+    lies before is not read again.  ``heard`` is as in ``leading.between``,
+    which runs its rounds when this is called.
     """
     require_columns(main, columns)
-    keys = _order_keys(order_by, ds, columns)
+    names = _order_keys(order_by, ds, columns)
+    keys = _sort_keys(names)
     rows = matching_rows(main, tags, spec, ds, column_filters)
     start = (max(1, int(page)) - 1) * int(page_size)
     if after is not None:
+        start += _seen(rows, keys, after)
         rows = rows.where(_not_before(keys, after.values))
-        start += after.seen
-    rows = rows.select(*[named(c) for c in dict.fromkeys([*[k for k, _ in keys], *columns])])
-    order = _order(keys)
-    return (leading(rows, order, start + int(page_size)).orderBy(*order).offset(start)
-            .limit(int(page_size)).select(*[named(c) for c in columns]))
+    rows = rows.select(*[named(c) for c in dict.fromkeys([*[k for k, _ in names], *columns])])
+    return between(rows, keys, start, int(page_size), heard).select(*[named(c) for c in columns])
+
+
+def _seen(rows: DataFrame, keys: Sequence[Key], cursor: Cursor) -> int:
+    """How many rows equal to the cursor's have been shown; counts what lies between it and its base if it has to."""
+    if cursor.seen is not None:
+        return cursor.seen
+    since = rows.where(_not_before(keys, cursor.values, strictly=True))
+    shown = cursor.shown
+    if cursor.base is not None:
+        since = since.where(_not_before(keys, cursor.base.values))
+        shown += _seen(rows, keys, cursor.base)
+    return shown - since.count()
 
 
 def next_cursor(
     shown: Sequence[Row | Mapping], ds: DatasetSpec, columns: Sequence[str], order_by: Sequence[str] = (), after: Cursor | None = None,
+    page: int = 1, page_size: int = 50,
 ) -> Cursor | None:
     """Where the next page starts, from the collected rows of this one; None if it was empty.
 
-    The sort keys and the entity key must be among the shown columns.
+    ``after``, ``page`` and ``page_size`` are those that gave this page.  The
+    sort keys and the entity key must be among the shown columns.
     """
     names = [c for c, _ in _order_keys(order_by, ds, columns)]
     hidden = [c for c in names if c not in columns]
@@ -215,9 +246,13 @@ def next_cursor(
         return None
     values = [tuple(row[c] for c in names) for row in shown]
     seen = next((n for n, v in enumerate(reversed(values)) if v != values[-1]), len(values))
-    if after is not None and seen == len(values) and after.values == values[-1]:
-        seen += after.seen
-    return Cursor(values[-1], seen)
+    skipped = (max(1, int(page)) - 1) * int(page_size)
+    if seen < len(values) or (skipped == 0 and after is None):
+        return Cursor(values[-1], seen)
+    if after is not None and after.values == values[-1]:
+        # all that the cursor skipped, and what the pages before this one showed, is equal too
+        return after._replace(seen=after.seen + skipped + seen) if after.seen is not None else after._replace(shown=after.shown + skipped + seen)
+    return Cursor(values[-1], seen) if skipped == 0 else Cursor(values[-1], None, skipped + seen, after)
 
 
 def write_numbered(rows: DataFrame, ds: DatasetSpec, path: str, order_by: Sequence[str] = ()) -> DataFrame:
@@ -229,7 +264,7 @@ def write_numbered(rows: DataFrame, ds: DatasetSpec, path: str, order_by: Sequen
     Rows equal in every column are interchangeable and spread at random.
     Pages are then read by ``page_of``, which reaches the row groups it needs.
     """
-    order = [*_order(_order_keys(order_by, ds, rows.columns)), F.col("_tie")]
+    order = [*[k.order for k in _sort_keys(_order_keys(order_by, ds, rows.columns))], F.col("_tie")]
     placed = rows.withColumn("_tie", F.rand(7)).orderBy(*order).drop("_tie").withColumn("_id", F.monotonically_increasing_id())
     placed.write.mode("overwrite").parquet(f"{path}/sorted")
     placed = rows.sparkSession.read.parquet(f"{path}/sorted")
@@ -259,7 +294,7 @@ def page_of(numbered: DataFrame, page: int, page_size: int) -> DataFrame:
 
 def count_rows(
     main: DataFrame, tags: DataFrame | None, spec: FilterSpec, ds: DatasetSpec,
-    column_filters: Sequence[ColumnFilter] = (),
+    column_filters: Sequence[ColumnFilter | AnyOf] = (),
 ) -> DataFrame:
     """How many rows match (N1), as one row."""
     return matching_rows(main, tags, spec, ds, column_filters).agg(F.count(F.lit(1)).alias("rows"))
@@ -279,10 +314,14 @@ def grid(
     columns: Sequence[str] | None = None,
     page: int = 1,
     page_size: int = 50,
-    column_filters: Sequence[ColumnFilter] = (),
+    column_filters: Sequence[ColumnFilter | AnyOf] = (),
     order_by: Sequence[str] = (),
+    after: Cursor | None = None,
 ) -> Grid:
-    """What the table view shows: a page with links last, and the total, both under its column filters (B2)."""
+    """What the table view shows: a page with links last, and the total, both under its column filters (B2).
+
+    With ``after`` the pages count from a cursor, as in ``page_rows``; the total doesn't.
+    """
     shown = ds.display_columns(main.columns, columns)
-    rows = page_rows(main, tags, spec, ds, shown, page, page_size, column_filters, order_by)
+    rows = page_rows(main, tags, spec, ds, shown, page, page_size, column_filters, order_by, after)
     return Grid(with_links(rows, ds), count_rows(main, tags, spec, ds, column_filters))

@@ -103,6 +103,11 @@ def filter_rows(df: DataFrame, spec: FilterSpec, ds: DatasetSpec, apply_share: b
 def tag_rows(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
     """Tag rows that satisfy the level and the value selection at once."""
     require_columns(tags, [ds.tag_key, ds.tag_level, ds.tag_value])
+    return selected(tags, spec, ds)
+
+
+def selected(tags: DataFrame, spec: FilterSpec, ds: DatasetSpec) -> DataFrame:
+    """The rows of any table with the tag level and value that the selection names."""
     for column, values in ((ds.tag_level, spec.tag_levels), (ds.tag_value, spec.tag_values)):
         if values:
             tags = tags.where(named(column).isin(list(values)))

@@ -9,18 +9,33 @@ of a row collapse in the map-side half of that aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import child, first_struct, named, or_null
-from ..sources.tables import FacetTables, existing, open_table, read_tables, write_tables
+from ..sources.tables import (
+    FacetTables,
+    existing,
+    open_main,
+    open_table,
+    publish,
+    read_tables,
+    version_folder,
+    write_children,
+    write_main,
+    write_tags,
+)
 from ..spec import DatasetSpec, SourceLayout
 
 
-def build_main(source: DataFrame, layout: SourceLayout, ds: DatasetSpec) -> DataFrame:
-    """The wide entity table, one output row per source row, in a fixed order."""
+def build_main(source: DataFrame, layout: SourceLayout, ds: DatasetSpec, also: Sequence[str] = ()) -> DataFrame:
+    """The wide entity table, one output row per source row, in a fixed order; columns in ``also`` come last, as they are."""
     wanted = [
+        *also,
         layout.key, layout.rank_struct, layout.measure_array, layout.grid_struct,
         layout.url_struct, *layout.plain,
         *[column for column, _, _ in layout.flat_stats],
@@ -36,7 +51,7 @@ def build_main(source: DataFrame, layout: SourceLayout, ds: DatasetSpec) -> Data
     ]
     return source.select(
         *front, *_measures(source, layout, ds), *_flat_stats(source, layout),
-        *_grouped_stats(source, layout))
+        *_grouped_stats(source, layout), *[named(c) for c in also])
 
 
 def _key(source: DataFrame, layout: SourceLayout) -> Column:
@@ -204,6 +219,15 @@ def build_all(
     )
 
 
+def staged(source: DataFrame, layout: SourceLayout, ds: DatasetSpec) -> tuple[DataFrame, list[str]]:
+    """The entity table with the nested columns of the other two beside it, and the names of those."""
+    main = build_main(source, layout, ds)
+    nested = [c for c in dict.fromkeys([layout.tag_struct, layout.child_array]) if c in source.columns]
+    if clash := [c for c in nested if c in main.columns]:
+        raise ValueError(f"nested column(s) {clash} have names of the entity table")
+    return build_main(source, layout, ds, also=nested), nested
+
+
 def run_etl(
     spark: SparkSession,
     source_path: str,
@@ -212,6 +236,18 @@ def run_etl(
     ds: DatasetSpec,
     cluster_by: tuple[str, ...] = (),
 ) -> FacetTables:
-    """Read one nested source, write the three flat tables, open them (S6, E15).  Runs the jobs at once."""
-    write_tables(build_all(open_table(spark, source_path), layout, ds), out_dir, ds, cluster_by)
+    """Read one nested source, write the three flat tables, publish and open them (S6, E15).  Runs the jobs at once.
+
+    The source is read once: the entity table is written with the nested
+    columns of the other two, which are made from there; a scan of the entity
+    table doesn't touch them, and ``read_tables`` hides them.
+    """
+    version = uuid4().hex
+    folder = version_folder(out_dir, version)
+    records, hidden = staged(open_table(spark, source_path), layout, ds)
+    write_main(records, folder, ds, cluster_by)
+    records = open_main(spark, folder, ds)
+    write_tags(build_tags(records, layout, ds), folder, ds)
+    write_children(build_children(records, layout), folder, ds)
+    publish(spark, out_dir, version, ds.buckets, hidden)
     return read_tables(spark, out_dir, ds)

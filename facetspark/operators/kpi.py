@@ -50,7 +50,7 @@ def _tag_counts(entities: DataFrame, tags: DataFrame, ds: DatasetSpec) -> DataFr
     kept = keep_keys(
         tags.where(level.isin(list(ds.tag_levels)) & value.isNotNull())
         .select(named(ds.tag_key), level.alias("level"), value.alias("value")),
-        ds.tag_key, entities, ds.key, hot=True)
+        ds.tag_key, entities, ds.key, hot=not ds.buckets)
     counts = kept.select("level", "value").distinct().agg(*[
         F.count_if(F.col("level") == v).alias(v) for v in ds.tag_levels])
     return _as_rows(counts, ds.tag_levels, "level", "values")
@@ -150,7 +150,7 @@ def _tags_of(tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: Da
     key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
     wanted = tags.where(
         key.isNotNull() & level.isNotNull() & level.isin([str(v) for v in levels]) & value.isNotNull())
-    return keep_keys(wanted.select(key, level, value), ds.tag_key, entities, ds.key, hot=True)
+    return keep_keys(wanted.select(key, level, value), ds.tag_key, entities, ds.key, hot=not ds.buckets)
 
 
 def entity_tags(

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import named
 from ..spec import DatasetSpec, FilterSpec, rank_selections
 from .filters import apply_filters, in_values, require_columns
-from .leading import leading
+from .leading import Key, leading
+
+WINDOWED = 1000         # lists from this length on are not cut by windows, which then keep whole groups
 
 
 def _listed(values: DataFrame, limit: int | None) -> DataFrame:
@@ -27,7 +29,7 @@ def _listed(values: DataFrame, limit: int | None) -> DataFrame:
         return values.orderBy("value")
     # one more than asked for shows whether there are more; the windows see at most that many rows
     place = F.row_number().over(Window.orderBy("value"))
-    few = leading(values, [F.col("value")], limit + 1).withColumn("_place", place)
+    few = leading(values, [Key(F.col("value"))], limit + 1).withColumn("_place", place)
     more = F.max("_place").over(Window.partitionBy(F.lit(0))) > limit
     return few.withColumn("more", more).where(F.col("_place") <= limit).drop("_place").orderBy("value")
 
@@ -83,6 +85,12 @@ def cascaded_options(
     broad_first = [F.array_position(F.array(*map(F.lit, ds.facets)), F.col("rank")), F.col("value")]
     if limit is None:
         return options.orderBy(*broad_first)
+    if limit >= WINDOWED:
+        few = [leading(options.where(F.col("rank") == r), [Key(F.col("value"))], limit + 1) for r in ds.facets]
+        place = F.row_number().over(Window.partitionBy("rank").orderBy("value"))
+        options = reduce(DataFrame.unionAll, few).withColumn("_place", place)
+        more = F.max("_place").over(Window.partitionBy("rank")) > limit
+        return options.withColumn("more", more).where(F.col("_place") <= limit).drop("_place").orderBy(*broad_first)
     # one more than asked for per slice of tasks, then per rank: the last step sees a bounded number of rows of each slice
     slices = int(main.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     options = options.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import finite, named, number, per_thousand, real
 from ..spec import DatasetSpec, FilterSpec
 from .filters import read_filtered
-from .leading import leading
+from .leading import HEARD, Key, leading
 from .quantiles import exact_quantiles
 
 SERIES = ("x_name", "series")
@@ -29,7 +29,7 @@ SIZE_GAIN = 10.0
 SIZE_QUANTILES = (0.05, 0.95)
 
 
-def stable_sample(rows: DataFrame, n: int, key_text: str, ds: DatasetSpec) -> DataFrame:
+def stable_sample(rows: DataFrame, n: int, key_text: str, ds: DatasetSpec, heard: int = HEARD) -> DataFrame:
     """The same n rows for the same key text, on any cluster.
 
     Rows are ranked by a digest of the text and their key, rows of equal key by
@@ -39,7 +39,7 @@ def stable_sample(rows: DataFrame, n: int, key_text: str, ds: DatasetSpec) -> Da
         return rows
     digest = F.md5(F.concat(F.lit(f"{key_text}#"), F.coalesce(named(ds.key).cast("string"), F.lit(""))))
     ties = [named(f.name) for f in rows.schema if f.name != ds.key and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return leading(rows, [digest, named(ds.key), *ties], int(n))
+    return leading(rows, [Key(c, nulls_first=True) for c in (digest, named(ds.key), *ties)], int(n), heard)
 
 
 def measure_values(rows: DataFrame, measures: Sequence[str], metric: str, ds: DatasetSpec) -> dict[str, Column]:

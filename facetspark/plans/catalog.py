@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
+from uuid import uuid4
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import markdown_link, thousands
-from ..operators import browse, composition, filters, kpi, options, relate
+from ..operators import browse, composition, filters, kpi, options, relate, summaries, tag_index
 from ..operators.flatten import build_main, build_tags, run_etl
-from ..sources.tables import open_table, shared_folder
+from ..sources.tables import list_columns, open_table, shared_folder
 from ..spec import Drill, FilterSpec, ShareRange
 from . import fixtures
-from .fixtures import DATASET, MEASURES, published_tables
+from .fixtures import BUCKETED, DATASET, MEASURES, published_tables
 
 # ---- selections -------------------------------------------------------------
 KINGDOMS = ("ASIA", "EUROPE", "AFRICA")
@@ -174,6 +175,29 @@ def _with_nan(main: DataFrame) -> DataFrame:
         "total_gene_biotypes": F.when(F.col("tax_id") % 5 == 0, nan).otherwise(F.col("total_gene_biotypes").cast("double")),
     })
 
+# what the page queries below order by; pages and samples are selected by thresholds at every size
+LINES = replace(DATASET, key="l_orderkey")
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"]
+LINE_ORDER = ["l_returnflag", "-l_extendedprice"]
+STATUS = replace(DATASET, key="o_orderstatus")
+
+
+def _page_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return browse.page_rows(_lines(spark, sf_dir), None, FilterSpec(), LINES, LINE_COLUMNS, 90, 60, order_by=LINE_ORDER, heard=0)
+
+
+def _after_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the third one, by the cursor of the third, where all rows of a status look the same."""
+    orders = open_table(spark, f"{sf_dir}/orders.parquet").select("o_orderstatus", F.floor(F.col("o_orderkey") % 2).alias("half"))
+    columns = ["o_orderstatus", "half"]
+    third = browse.page_rows(orders, None, FilterSpec(), STATUS, columns, 3, 40).head(40)
+    cursor = browse.next_cursor(third, STATUS, columns, page=3, page_size=40)
+    return browse.page_rows(orders, None, FilterSpec(), STATUS, columns, 1, 1300, after=cursor)
+
+
+EITHER = [browse.AnyOf((browse.ColumnFilter("phylum", "equals", "nation_1"), browse.ColumnFilter("phylum", "ends_with", "_12"))),
+          browse.AnyOf((browse.ColumnFilter("tax_id", "less", 900), browse.ColumnFilter("range_km2", "blank")))]
+
 
 QUERIES: dict[str, Query] = {
     # ETL
@@ -194,6 +218,10 @@ QUERIES: dict[str, Query] = {
     "filter_share_computed": _filtered(SHARE, drop=_shares()),
     "filter_share_no_total": _filtered(SHARE, drop=(*_shares(), "total_gene_biotypes")),
     "filter_tags": _filtered(TAGS),
+    "filter_tags_bucketed": _on_tables(lambda t: filters.read_filtered(
+        t.bucketed.main, t.bucketed.tags, TAGS, BUCKETED, SHOWN)),
+    "filter_tags_indexed": _on_tables(lambda t: tag_index.filter_indexed(
+        t.numbered, t.tag_index, TAGS, DATASET).select(*SHOWN)),
     "filter_tags_counted": lambda spark, sf: filters.keep_keys(
         published_tables(spark, sf).main.select(*SHOWN), "accession",
         filters.tag_rows(published_tables(spark, sf).tags, TAGS, DATASET), "accession"),
@@ -214,7 +242,14 @@ QUERIES: dict[str, Query] = {
     "page_after": _page_after,
     "page_numbered": lambda spark, sf: browse.page_of(browse.write_numbered(
         published_tables(spark, sf).main.where(F.col("kingdom").isin(*KINGDOMS)).select(*SHOWN), DATASET,
-        f"{shared_folder(spark)}/numbered-{spark.sparkContext.applicationId}", ["-range_km2"]), 3, 20),
+        f"{shared_folder(spark)}/numbered-{uuid4().hex}", ["-range_km2"]), 3, 20),
+    "page_beyond": _page_beyond,
+    "page_cursor_after_number": _after_number,
+    "page_default_columns": _on_tables(lambda t: browse.grid(t.main, t.tags, RANKS, DATASET, None, 2, 30).rows),
+    "page_either": _on_tables(lambda t: browse.page_rows(
+        t.main, t.tags, RANKS, DATASET, SHOWN, 1, 100, EITHER, ["phylum", "-tax_id"])),
+    "schema_columns": _on_tables(lambda t: t.main.sparkSession.createDataFrame(
+        list(enumerate(list_columns(t.main))), "place int, name string")),
     "grid_filtered_rows": _on_tables(lambda t: browse.grid(
         t.main, t.tags, RANKS, DATASET, SHOWN, 1, 80, GRID_FILTERS, ["phylum", "-tax_id"]).rows),
     "grid_filtered_total": _on_tables(lambda t: browse.grid(
@@ -249,6 +284,9 @@ QUERIES: dict[str, Query] = {
         t.main, t.tags, replace(RANKS, share=ShareRange("SMALL", 12.5, 20.0)), DATASET, "phylum")),
     "composition_drill": _on_tables(lambda t: composition.composition_drill(
         t.main, t.tags, FilterSpec(), DATASET, DRILL)),
+    "composition_rollup": _on_tables(lambda t: summaries.composition_rolled(t.rollup, RANKS, DATASET, "phylum")),
+    "composition_rollup_drill": _on_tables(lambda t: summaries.drill_rolled(t.rollup, FilterSpec(), DATASET, DRILL)),
+    "measure_totals_rollup": _on_tables(lambda t: summaries.totals_rolled(t.rollup, RANKS, DATASET)),
     "composition_clicked": _on_tables(lambda t: composition.composition_drill(
         t.main, t.tags, RANKS, DATASET, CLICKED.steps, CLICKED.rank)),
     "composition_deepest": _on_tables(lambda t: composition.composition_drill(
@@ -262,6 +300,9 @@ QUERIES: dict[str, Query] = {
     "kpi_summary_filtered": _on_tables(lambda t: kpi.kpi_summary(t.main, t.tags, ALL, DATASET)),
     "kpi_entities": _on_tables(lambda t: kpi.matching_entities(t.main, t.tags, ALL, DATASET)),
     "kpi_tags": _on_tables(lambda t: kpi.tag_distinct_counts(t.main, t.tags, ALL, DATASET)),
+    "kpi_tags_bucketed": _on_tables(lambda t: kpi.tag_distinct_counts(t.bucketed.main, t.bucketed.tags, ALL, BUCKETED)),
+    "kpi_tags_indexed": _on_tables(lambda t: tag_index.tag_counts_indexed(t.numbered, t.tag_index, ALL, DATASET)),
+    "kpi_ranks_paths": _on_tables(lambda t: summaries.rank_counts(t.paths, RANKS, DATASET)),
     "kpi_top": _on_tables(lambda t: kpi.top_measures(t.main, t.tags, ALL, DATASET, k=3)),
     "kpi_top_placed": _on_tables(lambda t: _placed(kpi.top_measures(t.main, t.tags, ALL, DATASET))),
     "kpi_top_text": _on_tables(lambda t: kpi.top_measures_text(t.main, t.tags, ALL, DATASET)),
@@ -278,6 +319,8 @@ QUERIES: dict[str, Query] = {
     "options_limited": _on_tables(lambda t: options.distinct_values(t.main, "tax_id", DATASET, limit=100)),
     "options_cascaded_limited": _on_tables(lambda t: options.cascaded_options(t.main, SELECTIONS, DATASET, limit=3)),
     "options_cascaded": _on_tables(lambda t: options.cascaded_options(t.main, SELECTIONS, DATASET)),
+    "options_cascaded_paths": _on_tables(lambda t: options.cascaded_options(t.paths, SELECTIONS, DATASET)),
+    "options_cascaded_beyond": _on_tables(lambda t: options.cascaded_options(t.main, {"kingdom": ["ASIA", "EUROPE"]}, DATASET, limit=1200)),
     "options_tag_levels": _on_tables(lambda t: options.tag_levels(t.tags, DATASET)),
     "options_tag_values": _on_tables(lambda t: options.tag_values(t.tags, ["realm", "biome"], DATASET)),
     "tags_by_entity": _on_tables(lambda t: kpi.tags_by_entity(
@@ -298,6 +341,9 @@ QUERIES: dict[str, Query] = {
     "sample_stable": lambda spark, sf: relate.stable_sample(
         open_table(spark, f"{sf}/customer.parquet"), 400, "plot", replace(DATASET, key="c_custkey"),
     ).select("c_custkey", "c_name"),
+    "sample_large": lambda spark, sf: relate.stable_sample(
+        open_table(spark, f"{sf}/orders.parquet"), 5000, "plot", replace(DATASET, key="o_orderkey"), heard=0,
+    ).select("o_orderkey", "o_custkey"),
     # scalar functions
     "links": lambda spark, sf: open_table(spark, f"{sf}/pages.parquet").select(
         "page_id", markdown_link(F.col("url")).alias("link")),

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..genome import GENOME, GENOME_SOURCE
+from ..operators import browse, summaries, tag_index
 from ..operators.flatten import build_children, build_main, build_tags
 from ..operators.quantiles import exact_quantiles
-from ..sources.tables import open_table, shared_folder, write_children, write_main, write_tags
+from ..sources.tables import FacetTables, open_table, read_tables, shared_folder, write_children, write_main, write_tables, write_tags
 
 FOLD = 1000
 
@@ -42,6 +43,8 @@ DATASET = replace(
         "accession", "species", "total_gene_biotypes", "ECONOMY_*", "SMALL_*", "gbif", "biodiversity_portal")},
 )
 
+BUCKETED = replace(DATASET, buckets=16)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return open_table(spark, f"{sf_dir}/{name}.parquet").select(*columns)
@@ -241,6 +244,39 @@ class PublishedTables:
     def children(self) -> DataFrame:
         return self._publish(flat_children, DATASET.child_file, write_children)
 
+    def _once(self, name: str, write: Callable[[str], object]) -> str:
+        path = f"{self._folder}/{name}"
+        if path not in _written:
+            write(path)
+            _written.add(path)
+        return path
+
+    @cached_property
+    def rollup(self) -> DataFrame:
+        return open_table(self._spark, self._once("rollup.parquet", lambda path: summaries.write_rollup(
+            summaries.build_rollup(self.main, DATASET), path, DATASET)))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return open_table(self._spark, self._once("paths.parquet", lambda path: summaries.write_paths(
+            summaries.build_paths(self.main, DATASET), path, DATASET)))
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        folder = self._once("entities", lambda path: browse.write_numbered(self.main, DATASET, path, ["kingdom", "phylum"]))
+        return open_table(self._spark, f"{folder}/numbered")
+
+    @cached_property
+    def tag_index(self) -> DataFrame:
+        return open_table(self._spark, self._once("tag_index.parquet", lambda path: tag_index.write_tag_index(
+            tag_index.build_tag_index(self.numbered, self.tags, DATASET), path, DATASET)))
+
+    @cached_property
+    def bucketed(self) -> FacetTables:
+        """The same tables laid out by key, published together."""
+        folder = self._once("bucketed", lambda path: write_tables(FacetTables(self.main, self.tags, self.children), path, BUCKETED))
+        return read_tables(self._spark, folder, BUCKETED)
+
 
 _written: set[str] = set()
 _opened: dict[tuple[SparkSession, str], PublishedTables] = {}

@@ -143,6 +143,9 @@ def _wide(query: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([WIDE.strip(), *[c.strip() for c in ctes]]) + "\n" + query
 
 
+_DEFAULT = ('accession, kingdom, phylum, "class", "order", family, genus, species, tax_id, range_km2, mean_elevation, '
+            'min_elevation, max_elevation, median_elevation, clim_bio1_mean, clim_bio1_max, clim_bio1_min, clim_bio7_mean, '
+            'clim_bio7_max, clim_bio7_min, clim_bio12_mean, clim_bio12_max, clim_bio12_min, clim_bio15_mean, clim_bio15_max')
 _PRESET = ('accession, species, total_gene_biotypes, "ECONOMY_count", "ECONOMY_percentage", '
            '"SMALL_count", "SMALL_percentage"')
 
@@ -239,6 +242,8 @@ ORACLE: dict[str, str] = {
     "filter_share_no_total": _wide(
         f"SELECT accession, kingdom, tax_id, range_km2 FROM wide WHERE {_share(_ALL_COUNTS)}"),
     "filter_tags": _shown(TAGGED, tags=True),
+    "filter_tags_bucketed": _shown(TAGGED, tags=True),
+    "filter_tags_indexed": _shown(TAGGED, tags=True),
     "filter_tags_counted": _shown(TAGGED, tags=True),
     "filter_tags_typed_keys": _wide(
         f"SELECT substr(accession, 5) AS accession, kingdom, tax_id, total_gene_biotypes, range_km2 FROM wide WHERE {TAGGED}", TAGS),
@@ -265,6 +270,14 @@ ORACLE: dict[str, str] = {
                   "ORDER BY o_orderstatus DESC, o_custkey, o_orderkey LIMIT 70 OFFSET 70",
     "page_numbered": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} "
                            "ORDER BY range_km2 DESC NULLS LAST, accession LIMIT 20 OFFSET 40"),
+    "page_beyond": "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag FROM lineitem "
+                   "ORDER BY l_returnflag, l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 60 OFFSET 5340",
+    "page_cursor_after_number": "SELECT o_orderstatus, o_orderkey % 2 AS half FROM orders ORDER BY 1, 2 LIMIT 1300 OFFSET 120",
+    "page_default_columns": _wide(f"SELECT {_DEFAULT} FROM wide WHERE {KINGDOMS} ORDER BY accession LIMIT 30 OFFSET 30"),
+    "page_either": _wide(f"SELECT {SHOWN} FROM wide WHERE {KINGDOMS} AND (lower(phylum) = 'nation_1' OR phylum LIKE '%\\_12' ESCAPE '\\') "
+                         "AND (tax_id < 900 OR range_km2 IS NULL) ORDER BY phylum, tax_id DESC LIMIT 100"),
+    "schema_columns": "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS place, column_name AS name FROM (DESCRIBE "
+                      + _wide("SELECT * FROM wide") + ")",
     "grid_filtered_rows": _wide(f"SELECT {SHOWN} FROM wide WHERE {_GRID} ORDER BY phylum, tax_id DESC LIMIT 80"),
     "grid_filtered_total": _wide(f"SELECT COUNT(*) AS \"rows\" FROM wide WHERE {_GRID}"),
     "page_preset": _wide(f"SELECT {_PRESET}, biodiversity_portal, gbif FROM wide WHERE {KINGDOMS} "
@@ -300,6 +313,10 @@ ORACLE: dict[str, str] = {
         'ranked AS (SELECT biotype, CAST(ROW_NUMBER() OVER (ORDER BY "count" DESC, biotype) AS INTEGER) AS biotype_rank FROM totals)'),
     "composition_drill": _wide("SELECT * FROM comp", _composition(
         "wide", '"class"', DRILLED)),
+    "composition_rollup": _wide("SELECT * FROM comp", _composition("wide", "phylum", KINGDOMS)),
+    "composition_rollup_drill": _wide("SELECT * FROM comp", _composition(
+        "wide", '"class"', DRILLED)),
+    "measure_totals_rollup": _wide('SELECT biotype, "count" FROM totals', _totals(KINGDOMS)),
     "composition_clicked": _wide("SELECT * FROM comp", _composition(
         "wide", '"order"', f"{KINGDOMS} AND kingdom IN ('AFRICA', 'ASIA', 'EUROPE') AND phylum = 'NATION_7'")),
     "composition_deepest": _wide("SELECT * FROM comp", _composition(
@@ -313,6 +330,15 @@ ORACLE: dict[str, str] = {
     "kpi_tags": _wide(
         "SELECT level, COUNT(DISTINCT value) AS \"values\" FROM tags WHERE accession IN (SELECT accession FROM hit) GROUP BY level",
         TAGS, f"hit AS (SELECT * FROM wide WHERE {ALL})"),
+    "kpi_tags_bucketed": _wide(
+        "SELECT level, COUNT(DISTINCT value) AS \"values\" FROM tags WHERE accession IN (SELECT accession FROM hit) GROUP BY level",
+        TAGS, f"hit AS (SELECT * FROM wide WHERE {ALL})"),
+    "kpi_tags_indexed": _wide(
+        "SELECT level, COUNT(DISTINCT value) AS \"values\" FROM tags WHERE accession IN (SELECT accession FROM hit) GROUP BY level",
+        TAGS, f"hit AS (SELECT * FROM wide WHERE {ALL})"),
+    "kpi_ranks_paths": _wide(" UNION ALL ".join(
+        f"SELECT '{name}' AS figure, COUNT(DISTINCT \"{column}\") AS value FROM wide WHERE {KINGDOMS}"
+        for name, column in [(r, r) for r in _CASCADE_FACETS[:-1]] + [("accessions", "accession")])),
     "kpi_top": _wide('SELECT biotype, "count" FROM totals ORDER BY "count" DESC, biotype LIMIT 3', TAGS, _KPI_TOTALS),
     "kpi_top_placed": _wide('SELECT biotype, "count", ROW_NUMBER() OVER (ORDER BY "count" DESC, biotype) - 1 AS position '
                             'FROM totals ORDER BY "count" DESC, biotype LIMIT 5', TAGS, _KPI_TOTALS),
@@ -337,6 +363,14 @@ ORACLE: dict[str, str] = {
         "COUNT(*) OVER (PARTITION BY \"rank\") AS n FROM cascade) WHERE place <= 3", f"cascade AS ({_cascade()})"),
     "options_cascaded": _wide(
         "SELECT \"rank\", value FROM cascade", f"cascade AS ({_cascade()})"),
+    "options_cascaded_paths": _wide(
+        "SELECT \"rank\", value FROM cascade", f"cascade AS ({_cascade()})"),
+    "options_cascaded_beyond": _wide(
+        "SELECT \"rank\", value, n > 1200 AS more FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY \"rank\" ORDER BY value) AS place, "
+        "COUNT(*) OVER (PARTITION BY \"rank\") AS n FROM cascade) WHERE place <= 1200",
+        "cascade AS (" + " UNION ALL ".join(
+            f"SELECT DISTINCT '{f}' AS \"rank\", CAST(\"{f}\" AS VARCHAR) AS value FROM wide WHERE \"{f}\" IS NOT NULL"
+            + ("" if f == "kingdom" else " AND kingdom IN ('ASIA', 'EUROPE')") for f in _CASCADE_FACETS) + ")"),
     "options_tag_levels": _with(TAGS) + "SELECT DISTINCT level AS value FROM tags",
     "options_tag_values": _with(TAGS) + "SELECT DISTINCT value FROM tags WHERE level IN ('realm', 'biome')",
     "tags_by_entity": _wide(
@@ -382,6 +416,8 @@ ORACLE: dict[str, str] = {
              CASE WHEN q1 > q0 THEN q1 ELSE t1 END AS hi FROM q)"""),
     "sample_stable": "SELECT c_custkey, c_name FROM customer "
                      "ORDER BY md5('plot#' || c_custkey), c_custkey LIMIT 400",
+    "sample_large": "SELECT o_orderkey, o_custkey FROM orders "
+                    "ORDER BY md5('plot#' || o_orderkey), o_orderkey LIMIT 5000",
     "links": f"SELECT page_id, {_link('url')} AS link FROM pages",
     "format_kpi": _wide("SELECT biotype, format('{:,}', CAST(\"count\" AS BIGINT)) AS text FROM totals", _totals("TRUE")),
 }
