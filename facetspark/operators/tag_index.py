@@ -23,9 +23,13 @@ def _part(number: str) -> Column:
 
 
 def build_tag_index(numbered: DataFrame, tags: DataFrame, ds: DatasetSpec) -> DataFrame:
-    """(level, value, part, bits): which entities have a tag.  Copies of a pair set one bit; nulls have no bits."""
+    """(level, value, part, bits): which entities have a tag.
+
+    Copies of a pair set one bit.  A tag without level or value is kept, since
+    it meets a selection of the other.
+    """
     level, value = named(ds.tag_level), named(ds.tag_value)
-    rows = tags.where(level.isNotNull() & value.isNotNull()).select(named(ds.tag_key), level, value)
+    rows = tags.select(named(ds.tag_key), level, value)
     entities = numbered.where(named(ds.key).isNotNull()).select(named(ds.key).alias("_key"), NUMBER)
     # tags are on the left: a hot entity's rows can be split
     pairs = spread_join(rows, entities, {ds.tag_key: "_key"}, "inner")
@@ -66,7 +70,7 @@ def tag_counts_indexed(numbered: DataFrame, index: DataFrame, spec: FilterSpec,
     matching = filter_indexed(numbered, index, spec, ds)
     wanted = matching.groupBy(_part(NUMBER).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(NUMBER))).alias("_bits"))
     level, value = named(ds.tag_level), named(ds.tag_value)
-    offered = index.where(level.isin(list(ds.tag_levels))).select(level.alias("level"), value.alias("value"), PART, BITS)
+    offered = index.where(level.isin(list(ds.tag_levels)) & value.isNotNull()).select(level.alias("level"), value.alias("value"), PART, BITS)
     both = offered.join(wanted, F.col(PART) == F.col("_part")).select("level", "value", PART, F.explode(F.array(BITS, "_bits")).alias("b"))
     shared = both.groupBy("level", "value", PART).agg(F.bitmap_and_agg("b").alias("b")).where(F.bitmap_count("b") > 0)
     counts = shared.select("level", "value").distinct().agg(*[F.count_if(F.col("level") == v).alias(v) for v in ds.tag_levels])
