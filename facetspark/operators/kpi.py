@@ -9,14 +9,16 @@ costs one row per map task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import amount, finite, named, number, thousands
 from ..spec import DatasetSpec, FilterSpec
 from .composition import measure_totals
-from .filters import apply_filters, filter_rows, keep_keys, require_columns, tag_rows
+from .filters import apply_filters, filter_rows, keep_keys, require_columns, spread_join, tag_rows
 
 
 def matching_entities(
@@ -115,18 +117,29 @@ def top_measures_text(
 def extents(main: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, min, max) of numeric columns, null and NaN skipped (M1).
 
-    All columns in one aggregate; an unknown column gives nulls.
+    Whole-number columns are one aggregate of bare columns, all others
+    another; an unknown column gives nulls.  Where the caller's session reads
+    Parquet by the newer source (``spark.sql.sources.useV1SourceList`` without
+    parquet) with ``spark.sql.parquet.aggregatePushdown``, the first is
+    answered from file statistics.  Floats are always read, since statistics
+    don't tell about NaN.
     """
     wanted = list(dict.fromkeys(columns))
-    aggs = []
-    for i, c in enumerate(wanted):
-        value = F.lit(None).cast("double")
-        if c in main.columns:
-            value = F.nanvl(number(main, c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.min(value).alias(f"_lo{i}"), F.max(value).alias(f"_hi{i}")]
+    known = [c for c in wanted if c in main.columns]
+    whole = [c for c in known if isinstance(main.schema[c].dataType, T.IntegralType)]
+    parts = [_extent_rows(main, [(c, named(c)) for c in whole])] if whole else []
+    rest = [c for c in wanted if c not in whole]
+    if rest or not whole:
+        none = F.lit(None).cast("double")
+        parts.append(_extent_rows(main, [(c, F.nanvl(number(main, c).cast("double"), none) if c in known else none) for c in rest]))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _extent_rows(main: DataFrame, values: Sequence[tuple[str, Column]]) -> DataFrame:
+    aggs = [f(v).alias(f"_{side}{i}") for i, (_, v) in enumerate(values) for side, f in (("lo", F.min), ("hi", F.max))]
     return main.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"))
-        for i, c in enumerate(wanted)
+        F.struct(F.lit(c).alias("column"), F.col(f"_lo{i}").cast("double").alias("min"), F.col(f"_hi{i}").cast("double").alias("max"))
+        for i, (c, _) in enumerate(values)
     ])))
 
 
@@ -160,21 +173,43 @@ def entity_tags(
     return _tags_of(tags, entities, levels, ds).distinct()
 
 
+LIST = 100_000          # values of an entity and level that one row, and so one task, may hold
+
+
 def tags_by_entity(
-    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec, as_map: bool = False, parts: int = 1,
+    tags: DataFrame, entities: DataFrame, levels: Sequence[str], ds: DatasetSpec, as_map: bool = False, parts: int = 1, most: int = LIST,
 ) -> DataFrame:
     """(key, level, part, values): each entity's sorted tags per level.
 
-    An entity's list is one row unless the caller asks for more ``parts``, as
-    entities with very many tags need; values then go to parts by digest, each
-    part sorted.  With ``as_map``, one row per entity and part with a
-    level -> values map.
+    A list is one row, part 0, unless some entity and level has more than
+    ``most`` tag rows (counted by a job at once).  The lists of those are cut
+    by the ranges of a sort over key, level and value, so that their parts lie
+    in several tasks and, one after the other, are the sorted list.  With
+    ``parts`` the caller deals every list into so many parts by digest instead.
+    With ``as_map``, one row per entity and part with a level -> values map.
     """
     key, level, value = named(ds.tag_key), named(ds.tag_level), named(ds.tag_value)
-    digest = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
-    part = (digest % parts if parts > 1 else F.lit(0).cast("long")).alias("part")
     kept = _tags_of(tags, entities, levels, ds)
-    lists = kept.groupBy(key, level, part).agg(F.array_sort(F.collect_set(value)).alias("values"))
+    ids = [ds.tag_key, ds.tag_level]
+    listed = F.array_sort(F.collect_set(value)).alias("values")
+    counted = tags.groupBy(key, level).agg(F.count(F.lit(1)).alias("_rows"))
+    if parts > 1:
+        digest = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
+        lists = kept.groupBy(key, level, (digest % parts).alias("part")).agg(listed)
+    elif (counted.agg(F.max("_rows")).first()[0] or 0) <= most:
+        lists = kept.groupBy(key, level).agg(listed).select(*map(named, ids), F.lit(0).cast("long").alias("part"), "values")
+    else:
+        long = counted.where(F.col("_rows") > most).select(key.alias("_key"), level.alias("_level"))
+        of_long = {ds.tag_key: "_key", ds.tag_level: "_level"}
+        short = spread_join(kept, long, of_long, "left_anti").groupBy(key, level).agg(listed)
+        # a partition of the sort holds a range of values; there are at most as many pieces of a list as partitions
+        slices = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cut = (spread_join(kept, long, of_long, "left_semi").distinct().repartitionByRange(slices, key, level, value)
+               .withColumn("_slice", F.spark_partition_id().cast("long")))
+        pieces = cut.groupBy(key, level, "_slice").agg(listed)
+        place = F.row_number().over(Window.partitionBy(key, level).orderBy("_slice")) - 1
+        lists = short.select(*map(named, ids), F.lit(0).cast("long").alias("part"), "values").unionByName(
+            pieces.select(*map(named, ids), place.cast("long").alias("part"), "values"))
     if not as_map:
         return lists
     return lists.groupBy(key, "part").agg(

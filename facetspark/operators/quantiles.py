@@ -1,10 +1,11 @@
 """Exact quantiles that no single task has to hold (used by R7).
 
 Spark's ``percentile`` keeps every distinct value of a group in one task.  Here
-the values are first counted (copies collapse map-side), a bounded sketch of
-each group cuts them into bands of about equal numbers of values, the few bands
-holding the wanted positions are found from exact band sizes, and only those
-are ordered.  The sketch decides how even the bands are, not the result.
+the values are first counted (copies collapse map-side).  Groups of few values
+go to ``percentile``.  Of a larger one a bounded sketch cuts the values into
+bands of about equal numbers, the bands holding the wanted positions are found
+from exact band sizes, and only those are ordered.  The sketch decides how even
+the bands are, not the result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 
 BANDS = 128
+FEW = 100_000           # values of a group that one task may hold
 
 
 def banded(counted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -26,20 +28,36 @@ def banded(counted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
             .withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few: int = FEW) -> DataFrame:
     """Per group: ``q0, q1, ..`` linearly interpolated, and ``n, lowest, highest``.
 
     Only finite values count.  Groups without any, and null groups, are absent.
+    Groups are counted first, by a job that runs at once: only if one has more
+    than ``few`` rows, the plan has a part that cuts the groups of more than
+    ``few`` values into bands.
     """
     by = list(by)
-    # dropping nulls here, rather than leaving it to the join below, keeps both
-    # uses of the counts the same plan, so that their shuffle is done once
-    counted = (
-        df.select(*by, finite(F.col(value).cast("double")).alias("_v"))
-        .dropna(subset=[*by, "_v"])
-        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    counted = banded(counted, by, "_v")
+    values = df.select(*by, finite(F.col(value).cast("double")).alias("_v")).dropna(subset=[*by, "_v"])
+    most = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
+    if (most or 0) <= few:
+        return _together(values.withColumn("_n", F.lit(1).cast("long")), by, probs)
+    # both parts begin with the same plan, so that its shuffle is done once
+    counted = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    large = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_values")).where(F.col("_values") > few).select(*by)
+    small = _together(counted.join(large, by, "left_anti"), by, probs)
+    return small.unionByName(_of_bands(banded(counted.join(large, by, "left_semi"), by, "_v"), by, probs))
+
+
+def _together(counted: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    """The quantiles of values (``_v``, ``_n``) in groups that a task can hold."""
+    found = counted.groupBy(*by).agg(
+        F.sum("_n").alias("n"), F.min("_v").alias("lowest"), F.max("_v").alias("highest"),
+        F.percentile("_v", [float(p) for p in probs], F.col("_n")).alias("_q"))
+    return found.select(*by, "n", "lowest", "highest", *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
+
+
+def _of_bands(counted: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    """The quantiles of values (``_v``, ``_n``, ``_band``) of which only the bands in question are ordered."""
     bands = counted.groupBy(*by, "_band").agg(
         F.sum("_n").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     whole = Window.partitionBy(*by)

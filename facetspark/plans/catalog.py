@@ -106,8 +106,7 @@ def _line_fit(log: bool) -> Query:
 
 
 def _curve(t) -> DataFrame:
-    points = _measure_points(t).where(F.col("x_name") == "range_km2")
-    line = relate.trend_curve(relate.trend_fit(points, log_x=True), log_x=True)
+    line = relate.trend_curve(relate.trend_fit(_measure_points(t), log_x=True), log_x=True)
     return _rounded(line, 4, "x", "y")
 
 

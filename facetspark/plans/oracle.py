@@ -401,7 +401,7 @@ ORACLE: dict[str, str] = {
         _points(_PER1K, KINGDOMS),
         """fit AS (SELECT x_name, series, regr_slope(y, log10(x)) AS slope, regr_intercept(y, log10(x)) AS intercept,
              MIN(log10(x)) AS x_min, MAX(log10(x)) AS x_max FROM points
-             WHERE x_name = 'range_km2' AND x > 0 GROUP BY x_name, series)"""),
+             WHERE x > 0 GROUP BY x_name, series)"""),
     "point_sizes": _wide(
         """SELECT accession, p.x_name, p.series, total, ROUND(CASE
              WHEN n < 2 OR hi <= lo THEN CAST(8 AS DOUBLE)

@@ -334,3 +334,37 @@ def test_plain_folders_still_open(spark, facet, rows):
     tables.write_tags(t.tags, f"{root}/plain", RANKED)
     tables.write_children(t.children, f"{root}/plain", RANKED)
     assert rows(read_tables(spark, f"{root}/plain", RANKED).tags) == rows(t.tags)
+
+
+# ---- figures ----------------------------------------------------------------
+def test_a_hot_entity_has_its_tags_in_several_tasks(spark, facet):
+    """A list over the limit is cut by ranges: its parts are in order, whole, and in different partitions."""
+    t, _ = facet
+    levels = ["realm", "biome"]
+    whole = {(r.accession, r.level): r["values"] for r in kpi.tags_by_entity(t.tags, t.main, levels, RANKED).collect()}
+    cut = kpi.tags_by_entity(t.tags, t.main, levels, RANKED, most=100).withColumn("task", F.spark_partition_id()).collect()
+    lists = {}
+    for r in sorted(cut, key=lambda r: r.part):
+        assert r.part == len(lists.setdefault((r.accession, r.level), []))
+        lists[r.accession, r.level].append(r["values"])
+    assert {k: sum(v, []) for k, v in lists.items()} == whole
+    hot = [r for r in cut if (r.accession, r.level) == ("e7", "biome")]
+    assert len(hot) > 1 and max(len(r["values"]) for r in hot) < 600 and len(whole["e7", "biome"]) >= 700
+    assert all(len(v) == 1 for k, v in lists.items() if k != ("e7", "biome"))
+
+
+def test_extents_of_whole_numbers_come_from_statistics(spark, facet):
+    t, root = facet
+    t.main.withColumn("x_real", F.col("x_count").cast("double")).write.parquet(f"{root}/stats")
+    columns = ["x_count", "total", "x_real", "none"]
+    want = kpi.extents(spark.read.parquet(f"{root}/stats"), columns).collect()
+    spark.conf.set("spark.sql.sources.useV1SourceList", "")
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    try:
+        got = kpi.extents(spark.read.parquet(f"{root}/stats"), columns)
+        plan = plan_of(got)
+        assert "PushedAggregation: [MIN(x_count), MAX(x_count), MIN(total), MAX(total)]" in plan
+        assert sorted(got.collect(), key=lambda r: r.column) == sorted(want, key=lambda r: r.column)
+    finally:
+        spark.conf.unset("spark.sql.sources.useV1SourceList")
+        spark.conf.unset("spark.sql.parquet.aggregatePushdown")

@@ -185,10 +185,10 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame(pd.concat([frame, extra])).repartition(5)
     df = df.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     probs = [0.05, 0.5, 0.95, 0.0, 1.0]
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
-    assert set(got) == set(data)
-    for g, values in data.items():
-        row = got[g]
+    whole = {few: {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, few).collect()} for few in (10, 300, 100_000)}
+    assert all(set(got) == set(data) for got in whole.values())
+    for g, values, few in [(*item, few) for item in data.items() for few in whole]:
+        row = whole[few][g]
         assert (row["n"], row["lowest"], row["highest"]) == (len(values), values.min(), values.max())
         for i, p in enumerate(probs):
             assert row[f"q{i}"] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-15)
@@ -200,7 +200,7 @@ def test_bands_split_any_range(spark, low, high):
     df = spark.createDataFrame(values, "g int, v double")
     sizes = [r["count"] for r in banded(df, ["g"], "v").groupBy("_band").count().collect()]
     assert sum(sizes) == 1000 and len(sizes) > 50 and max(sizes) < 40
-    row = exact_quantiles(df, ["g"], "v", [0.05, 0.5]).first()
+    row = exact_quantiles(df, ["g"], "v", [0.05, 0.5], few=100).first()
     assert [row["q0"], row["q1"]] == pytest.approx(np.quantile([v for _, v in values], [0.05, 0.5]))
 
 
