@@ -194,6 +194,13 @@ def _after_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.page_rows(orders, None, FilterSpec(), STATUS, columns, 1, 1300, after=cursor)
 
 
+def _sketched(t) -> DataFrame:
+    """The exact figures, and whether those from sketches lie within 5 % of them."""
+    told = summaries.rank_counts_sketched(t.sketches, RANKS, DATASET).withColumnRenamed("value", "told")
+    near = F.abs(F.col("told") - F.col("value")) <= F.col("value") * 0.05
+    return summaries.rank_counts(t.paths, RANKS, DATASET).join(told, "figure").select("figure", "value", near.alias("near"))
+
+
 EITHER = [browse.AnyOf((browse.ColumnFilter("phylum", "equals", "nation_1"), browse.ColumnFilter("phylum", "ends_with", "_12"))),
           browse.AnyOf((browse.ColumnFilter("tax_id", "less", 900), browse.ColumnFilter("range_km2", "blank")))]
 
@@ -302,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "kpi_tags_bucketed": _on_tables(lambda t: kpi.tag_distinct_counts(t.bucketed.main, t.bucketed.tags, ALL, BUCKETED)),
     "kpi_tags_indexed": _on_tables(lambda t: tag_index.tag_counts_indexed(t.numbered, t.tag_index, ALL, DATASET)),
     "kpi_ranks_paths": _on_tables(lambda t: summaries.rank_counts(t.paths, RANKS, DATASET)),
+    "kpi_ranks_sketched": _on_tables(_sketched),
     "kpi_top": _on_tables(lambda t: kpi.top_measures(t.main, t.tags, ALL, DATASET, k=3)),
     "kpi_top_placed": _on_tables(lambda t: _placed(kpi.top_measures(t.main, t.tags, ALL, DATASET))),
     "kpi_top_text": _on_tables(lambda t: kpi.top_measures_text(t.main, t.tags, ALL, DATASET)),

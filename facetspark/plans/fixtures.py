@@ -22,7 +22,7 @@ from ..genome import GENOME, GENOME_SOURCE
 from ..operators import browse, summaries, tag_index
 from ..operators.flatten import build_children, build_main, build_tags
 from ..operators.quantiles import exact_quantiles
-from ..sources.tables import FacetTables, open_table, read_tables, shared_folder, write_children, write_main, write_tables, write_tags
+from ..sources.tables import FacetTables, open_table, read_tables, shared_folder, write_children, write_main, write_table, write_tables, write_tags
 
 FOLD = 1000
 
@@ -261,6 +261,11 @@ class PublishedTables:
         return open_table(self._spark, self._once("paths.parquet", lambda path: summaries.write_paths(
             summaries.build_paths(self.main, DATASET), path, DATASET)))
 
+    @cached_property
+    def sketches(self) -> DataFrame:
+        return open_table(self._spark, self._once("sketches.parquet", lambda path: write_table(
+            summaries.build_sketches(self.main, DATASET), path, (summaries.DEPTH, "kingdom", "phylum"))))
+
     @cached_property
     def numbered(self) -> DataFrame:
         folder = self._once("entities", lambda path: browse.write_numbered(self.main, DATASET, path, ["kingdom", "phylum"]))

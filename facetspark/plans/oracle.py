@@ -339,6 +339,9 @@ ORACLE: dict[str, str] = {
     "kpi_ranks_paths": _wide(" UNION ALL ".join(
         f"SELECT '{name}' AS figure, COUNT(DISTINCT \"{column}\") AS value FROM wide WHERE {KINGDOMS}"
         for name, column in [(r, r) for r in _CASCADE_FACETS[:-1]] + [("accessions", "accession")])),
+    "kpi_ranks_sketched": _wide(" UNION ALL ".join(
+        f"SELECT '{name}' AS figure, COUNT(DISTINCT \"{column}\") AS value, TRUE AS near FROM wide WHERE {KINGDOMS}"
+        for name, column in [(r, r) for r in _CASCADE_FACETS[:-1]] + [("accessions", "accession")])),
     "kpi_top": _wide('SELECT biotype, "count" FROM totals ORDER BY "count" DESC, biotype LIMIT 3', TAGS, _KPI_TOTALS),
     "kpi_top_placed": _wide('SELECT biotype, "count", ROW_NUMBER() OVER (ORDER BY "count" DESC, biotype) - 1 AS position '
                             'FROM totals ORDER BY "count" DESC, biotype LIMIT 5', TAGS, _KPI_TOTALS),

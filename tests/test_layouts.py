@@ -277,6 +277,24 @@ def test_paths_answer_like_the_entities(facet, summed, rows):
     assert got == {**{r: kept.select(r).distinct().dropna().count() for r in RANKED.ranks}, "accessions": kept.count()}
 
 
+def test_sketches_stay_within_their_error(spark):
+    ds = replace(RANKED, ranks=("kingdom", "phylum", "class"))
+    main = spark.range(60_000).select(
+        F.concat(F.lit("e"), F.col("id") % 50_000).alias("accession"), F.concat(F.lit("k"), F.col("id") % 3).alias("kingdom"),
+        F.when(F.col("id") % 10 != 0, F.concat(F.lit("p"), F.col("id") % 700)).alias("phylum"), F.concat(F.lit("c"), F.col("id") % 20_011).alias("class"),
+        F.col("id").alias("tax_id"))
+    sketches = summaries.build_sketches(main, ds).cache()
+    for spec in (FilterSpec(), FilterSpec.build(ranks={"kingdom": ["k1", "k2"]}), FilterSpec.build(ranks={"phylum": ["p1", "p2", "p3"]}),
+                 FilterSpec.build(ranks={"kingdom": ["none"]})):
+        kept = filters.apply_filters(main, None, spec, ds)
+        told = dict(summaries.rank_counts_sketched(sketches, spec, ds).collect())
+        for figure, column in [(r, r) for r in ds.ranks] + [("accessions", "accession")]:
+            exact = kept.select(column).distinct().dropna().count()
+            assert abs(told[figure] - exact) <= 0.05 * exact, (spec, figure)
+    with pytest.raises(ValueError):
+        summaries.rank_counts_sketched(sketches, FilterSpec.build(ranks={"class": ["c1"]}), ds)
+
+
 # ---- publication ------------------------------------------------------------
 def test_a_failed_publication_leaves_the_old_tables(spark, facet, rows):
     t, root = facet
