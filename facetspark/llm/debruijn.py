@@ -14,7 +14,6 @@ verified at its source coordinates, by digests of its words.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -132,25 +131,30 @@ def paths(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``steps`` (``a``, ``b``) says that edge b follows edge a in some text.  Edges
     join where a has no other follower and b no other forerunner.  Each round
-    replaces the farthest edge known by the farthest that edge knows.  Edges on
-    a ring have no end; they are left single.
+    replaces the farthest edge known by the farthest that edge knows, for the
+    edges whose farthest is not the end of its path; the others are put aside.
+    On open paths there are fewer of them every round, so once their number
+    stays, all that are left lie on rings, which have no end: they stay single.
     """
     one = lambda key, other: (steps.groupBy(key).agg(F.min(other).alias("x"), F.max(other).alias("y"))
                               .where("x = y").select(key, F.col("x").alias(other)))
-    links = one("a", "b").join(one("b", "a"), ["a", "b"]).where("a <> b")
-    known = written(edges.join(links.withColumnRenamed("a", "edge"), "edge", "left")
-                    .select("edge", F.coalesce("b", "edge").alias("far"), F.col("b").isNotNull().cast("long").alias("after")))
-    for _ in range(max(1, math.ceil(math.log2(max(2, known.count()))) + 1)):
-        ahead = known.select(F.col("edge").alias("far"), F.col("far").alias("_far"), F.col("after").alias("_after"))
-        known = written(known.join(ahead, "far").select("edge", F.col("_far").alias("far"), (F.col("after") + F.col("_after")).alias("after"),
-                                                        (F.col("_after") > 0).alias("moved")))
-        if known.where("moved").isEmpty():
-            break
-    else:
-        known = known.select("edge", F.when(F.col("moved"), F.col("edge")).otherwise(F.col("far")).alias("far"),
-                             F.when(F.col("moved"), 0).otherwise(F.col("after")).alias("after"))
-    sizes = known.groupBy("far").agg((F.max("after") + 1).alias("n"))
-    return known.join(sizes, "far").select("edge", F.col("far").alias("path"), F.col("after").cast("int").alias("after"), F.col("n").cast("int").alias("n"))
+    links = written(one("a", "b").join(one("b", "a"), ["a", "b"]).where("a <> b"))
+    goes_on = links.select(F.col("a").alias("b"), F.lit(True).alias("open"))
+    known = written(links.join(goes_on, "b", "left").select(
+        F.col("a").alias("edge"), F.col("b").alias("far"), F.lit(1).cast("long").alias("after"), F.coalesce("open", F.lit(False)).alias("open")))
+    ended, moving, left = known.where("not open"), known.where("open"), None
+    while (now := moving.count()) and now != left:
+        left = now
+        ahead = ended.unionByName(moving).select(
+            F.col("edge").alias("far"), F.col("far").alias("_far"), F.col("after").alias("_after"), F.col("open").alias("_open"))
+        known = written(moving.drop("open").join(ahead, "far").select(
+            "edge", F.col("_far").alias("far"), (F.col("after") + F.col("_after")).alias("after"), F.col("_open").alias("open")))
+        ended, moving = ended.unionByName(known.where("not open")), known.where("open")
+    ended = written(ended.select("edge", "far", "after"))
+    sizes = ended.groupBy("far").agg((F.max("after") + 1).alias("n"))
+    placed = (edges.join(ended, "edge", "left").select("edge", F.coalesce("far", "edge").alias("path"), F.coalesce("after", F.lit(0)).cast("int").alias("after")))
+    return placed.join(sizes.withColumnRenamed("far", "path"), "path", "left").select(
+        "edge", "path", "after", F.coalesce("n", F.lit(1)).cast("int").alias("n"))
 
 
 def _steps(batch: pa.RecordBatch) -> dict:
@@ -263,8 +267,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                              "row bigint, first bigint, text string, at array<int>, w1 array<bigint>, w2 array<bigint>, "
                              "lows array<int>, highs array<int>", _windows))
     windows = work.select("row", "first", F.explode(F.arrays_zip("at", "w1", "w2")).alias("w")).select("row", "first", "w.*")
-    source = windows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
-    more = (windows.join(source.select("w1", "w2", "least"), ["w1", "w2"]).where("least < first")
+    source = written(windows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
+                     .select("w1", "w2", "least"))  # apart, so that the join can split a hot window
+    more = (windows.join(source, ["w1", "w2"]).where("least < first")
             .groupBy("row").agg(F.collect_set("at").alias("more")))
     lost = written(arrow_map(work.select("row", "text", "lows", "highs").join(more, "row", "left"),
                              "row bigint, n_removed bigint, kept_sha256 string", _kept)).distinct()
