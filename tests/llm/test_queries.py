@@ -60,6 +60,12 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
             assert kept == {i for i, r in before.items() if judge(r.text.encode())[-1]} and len(kept) < len(before)
         elif n == 1:
             prints = {i: simhash.fingerprint(r.text.encode()) % (1 << 64) for i, r in before.items()}
+            held = {i: shingles(r.text) or {tuple(r.text.encode().lower().split())} for i, r in before.items()}
+
+            def linked(i, j):
+                shared = len(held[i] & held[j])
+                return (prints[i] ^ prints[j]).bit_count() <= 2 or shared * 5 >= 4 * (len(held[i]) + len(held[j]) - shared)
+
             least = {}
             for i in sorted(prints):
                 if i not in least:
@@ -67,7 +73,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
                     while todo:
                         a = todo.pop()
                         for j in prints:
-                            if j not in least and (prints[a] ^ prints[j]).bit_count() <= 2:
+                            if j not in least and linked(a, j):
                                 least[j] = i
                                 todo.append(j)
             assert kept == set(least.values()) and len(rows) == len(kept)

@@ -314,3 +314,20 @@ def test_equal_runs_over_batches():
         batches = [pa.RecordBatch.from_pydict({"k": keys[:cut], "n": list(range(cut))}), pa.RecordBatch.from_pydict({"k": pa.array([], pa.string()), "n": pa.array([], pa.int64())}),
                    pa.RecordBatch.from_pydict({"k": keys[cut:], "n": list(range(cut, 7))})]
         assert [t.column("n").to_pylist() for t in equal_runs(iter(batches), "k")] == [[0, 1], [2], [3, 4, 5], [6]]
+
+
+# ---- op5: compaction --------------------------------------------------------
+@pytest.mark.parametrize("ring, chain", [(3, 8), (0, 40), (17, 0), (5, 1)])
+def test_paths_take_rounds_by_their_length(spark, monkeypatch, ring, chain):
+    """Open paths and a ring among many single edges: the ring costs one round more than the longest path."""
+    from facetspark.llm import debruijn
+
+    steps = [(i, i + 1) for i in range(chain)] + [(1000 + i, 1000 + (i + 1) % ring) for i in range(ring)]
+    edges = [(i,) for i in [*range(chain + 1), *range(1000, 1000 + ring), *range(2000, 2290)]]
+    writes = []
+    write = debruijn.written
+    monkeypatch.setattr(debruijn, "written", lambda df: (writes.append(1), write(df))[1])
+    got = debruijn.paths(spark.createDataFrame(steps or [], "a long, b long"), spark.createDataFrame(edges, "edge long"))
+    want = [(i, chain, chain - i, chain + 1) for i in range(chain + 1)] + [(e, e, 0, 1) for (e,) in edges if e >= 1000]
+    assert sorted((r.edge, r.path, r.after, r.n) for r in got.collect()) == sorted(want)
+    assert len(writes) - 3 <= max(1, chain).bit_length() + (ring > 0)
