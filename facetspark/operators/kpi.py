@@ -132,7 +132,9 @@ def extents(main: DataFrame, columns: Sequence[str]) -> DataFrame:
     if rest or not whole:
         none = F.lit(None).cast("double")
         parts.append(_extent_rows(main, [(c, F.nanvl(number(main, c).cast("double"), none) if c in known else none) for c in rest]))
-    return reduce(DataFrame.unionAll, parts)
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionAll, parts).orderBy(F.array_position(F.array(*map(F.lit, wanted)), F.col("column")))
 
 
 def _extent_rows(main: DataFrame, values: Sequence[tuple[str, Column]]) -> DataFrame:

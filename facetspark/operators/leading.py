@@ -71,10 +71,16 @@ class Key(NamedTuple):
     def after(self, value: Any) -> Column:
         return Key(self.col, not self.down, not self.nulls_first).before(value)
 
-    def reach(self, value: Any, down: bool) -> Column:
-        """Implied by being at or before (``down``), or at or after, a value: one comparison that a scan can use."""
-        side = self.before(value) if down else self.after(value)
-        return side | self.equals(value)
+    def reach(self, value: Any, before: bool) -> Column:
+        """Rows at a value or ``before`` it (else after it): one comparison that a scan can use."""
+        if value is None or _nan(value):
+            return (self.before(value) if before else self.after(value)) | self.equals(value)
+        if self.down != before:
+            side = self.col <= F.lit(value)
+        else:
+            side = self.col >= F.lit(value)
+            side = side | F.isnan(self.col) if isinstance(value, float) else side
+        return side | self.col.isNull() if self.nulls_first == before else side
 
 
 class Bin(NamedTuple):
