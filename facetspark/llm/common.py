@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+_STEPS: ContextVar[list[str] | None] = ContextVar("steps", default=None)
+
+
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[None]:
+    """Remove the steps written inside when the block ends, save those written to be kept.
+
+    Nothing that outlives the block may read a step that goes.
+    """
+    mine: list[str] = []
+    token = _STEPS.set(mine)
+    try:
+        yield
+    finally:
+        _STEPS.reset(token)
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` to the folder that all executors share and read it back.
 
     This runs the plan once, cuts the lineage, and survives lost executors.
+    ``keep`` exempts the step from an enclosing ``passing_steps``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    if not keep and (steps := _STEPS.get()) is not None:
+        steps.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

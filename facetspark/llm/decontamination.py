@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, written
+from .common import ascii_lower, passing_steps, row_key, written
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -67,11 +67,18 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """(``_key``, ``item_id``, ``shared``, ``of``) for every row key of ``docs`` and item whose shingles it holds.
 
     ``of`` counts the item's different shingles of ``width`` words (A-Z in
-    lower case), ``shared`` those in the document.  Items of fewer words,
-    without text or without id, can't be found; equal items count once.  Texts
-    that are null, empty or short hold nothing.  Equal rows share a key.
+    lower case), ``shared`` those in the document.  Items of fewer words or
+    without text can't be found; items without id are, under a null id; equal
+    items count once.  Texts that are null, empty or short hold nothing.  Equal
+    rows share a key.
     """
-    bench = items.select(items[item_id].alias("item_id"), items[item_text].alias("_text")).dropna().distinct()
+    with passing_steps(docs.sparkSession):
+        return _contaminated(docs, items, doc_id, text, item_id, item_text, width, containment)
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int,
+                  containment: float) -> DataFrame:
+    bench = items.select(items[item_id].alias("item_id"), items[item_text].alias("_text")).dropna(subset=["_text"]).distinct()
     bench = bench.withColumn("_item", row_key("item_id", "_text"))
     parts = (bench.withColumn("_words", words("_text"))
              .select("_item", "item_id", F.explode(shingles("_words", width)).alias("_shingle")))
@@ -81,21 +88,22 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     rows = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).withColumn("_key", row_key("_id", "_text"))
     probes = _hashed(rows, "_text", width).select("_key", "_hash")
-    candidates = written(probes.join(sketch.select("_hash").distinct(), "_hash", "left_semi").select("_key").distinct())
-    held = (rows.join(candidates, "_key", "left_semi").select("_key", "_text").withColumn("_words", words("_text"))
+    candidates = written(probes.join(sketch, "_hash").select("_key", "_item").distinct())
+    held = (rows.join(candidates.select("_key").distinct(), "_key", "left_semi").select("_key", "_text").withColumn("_words", words("_text"))
             .select("_key", F.explode(shingles("_words", width)).alias("_shingle")))
-    # equal rows have equal keys and shingles: counted once
-    found = (held.join(parts, "_shingle").groupBy("_key", "_item", "item_id", "of")
+    # only items whose sketch a document met are compared with it; equal rows have equal keys and shingles: counted once
+    found = (candidates.join(parts, "_item").join(held, ["_key", "_shingle"]).groupBy("_key", "_item", "item_id", "of")
              .agg(F.count_distinct("_shingle").alias("shared")))
     least = round(containment * 1_000_000)
-    return written(found.where(F.col("shared") * 1_000_000 >= F.col("of") * least).select("_key", "item_id", "shared", "of"))
+    return written(found.where(F.col("shared") * 1_000_000 >= F.col("of") * least).select("_key", "item_id", "shared", "of"), keep=True)
 
 
 def decontamination_report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
                            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, items (ids in ascending order, comma-joined; empty if none).
 
-    Rows with null ids are judged like others.
+    Rows with null ids are judged like others.  An item with a text but no id
+    contaminates, but has no id to list or count.
     """
     found = contaminated(docs, items, doc_id, text, item_id, item_text)
     each = (found.groupBy("_key").agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
@@ -107,6 +115,9 @@ def decontamination_report(docs: DataFrame, items: DataFrame, doc_id: str = "doc
 
 
 def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Null, empty and short texts hold none and stay; repeated rows stay or go together; items need no id.
+    """
     found = contaminated(docs, items, doc_id, text).select(F.col("_key").alias("_found")).distinct()
     return docs.join(found, row_key(doc_id, text) == F.col("_found"), "left_anti")

@@ -4,8 +4,9 @@ Shingles get one order over the corpus, rarer ones first by the counts of a
 fixed number of hash cells.  Two sets of similarity s share one of the first
 n - ceil(s n) + 1 shingles of either in whichever order, so the cells decide
 only how many candidates there are, never which pairs are found.  The same
-holds for bitmaps of the sets: they differ in no more bits than the sets do in
-shingles, and only pairs that pass are compared on the shingles.
+holds for parities of the sets in a fixed number of cells: they differ in no
+more bits than the sets do in shingles, and only pairs that pass are compared on
+the shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of, written
@@ -23,10 +24,10 @@ from .components import components
 
 WIDTH = 5
 CELLS = 1 << 18
-PARTS = 64
-BITS = 1024
+#: Parities of a set of shingles, in columns of 64.
+PARITIES = tuple(f"b{k}" for k in range(8))
 #: Pivots of a bucket in the first round, and how many times as many there are after each further one.
-FIRST, GROWTH = 8, 4
+FIRST, GROWTH = 2, 4
 _MILLION = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,42 +44,36 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
-def _bitmap(held: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(held >> np.uint64(32)).astype(np.int64) % BITS] = 1
-    return np.packbits(bits).view(np.int64)
+def _parities(held: np.ndarray) -> list[int]:
+    cells = (held >> np.uint64(32)).astype(np.int64) % (64 * len(PARITIES))
+    odd = np.bincount(cells, minlength=64 * len(PARITIES)).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def _cells(texts: DataFrame, width: int) -> np.ndarray:
-    """How many shingles fall into each cell."""
+    """How many shingles fall into each cell; tasks send their own sums, and at most ``CELLS`` rows come back."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in texts_of(batch):
                 np.add.at(counts, (shingles(text, width) % np.uint64(CELLS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_pydict({"part": np.arange(PARTS, dtype=np.int32),
-                                          "counts": pa.array([p.tobytes() for p in np.split(counts, PARTS)], pa.binary())})
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"cell": cells.astype(np.int32), "n": counts[cells]})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p.as_py(), np.int64) for p in table["counts"])
-        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    summed = texts.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(CELLS, np.int64)
+    total[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return total
 
-    schema = "part int, counts binary"
-    summed = texts.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
-    total = np.zeros((PARTS, CELLS // PARTS), np.int64)
-    for row in summed:  # as many rows as there are parts
-        total[row["part"]] = np.frombuffer(row["counts"], np.int64)
-    return total.reshape(-1)
 
-
-def _members(texts: DataFrame, least: int, width: int) -> DataFrame:
-    """(``bucket``, ``t``, ``size``, ``n``): the shingles that each text is found by and that n > 1 texts have so."""
+def _features(texts: DataFrame, least: int, width: int) -> DataFrame:
+    """(``t``, ``size``, parities, ``prefix``) of texts with words: the shingles that each is found by, rarest first."""
     sent = texts.sparkSession.sparkContext.broadcast(_cells(texts, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
         for batch in batches:
-            buckets, owners, sizes = [], [], []
+            rows, prefixes = [], []
             for t, text in zip(batch.column("t").to_pylist(), texts_of(batch)):
                 if t in seen:
                     continue
@@ -87,43 +82,54 @@ def _members(texts: DataFrame, least: int, width: int) -> DataFrame:
                 if n := len(held):
                     first = n + (-n * least) // _MILLION + 1  # n - ceil(n * similarity) + 1
                     order = np.lexsort((held, counts[(held % np.uint64(CELLS)).astype(np.int64)]))[:first]
-                    buckets.append(held[order].view(np.int64))
-                    owners.append(np.full(len(order), t, np.int64))
-                    sizes.append(np.full(len(order), n, np.int64))
-            if buckets:
-                yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "t", "size"), map(np.concatenate, (buckets, owners, sizes)))))
+                    prefixes.append(held[order].view(np.int64))
+                    rows.append((t, n, *_parities(held)))
+            if rows:
+                offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes)))],
+                    ["t", "size", *PARITIES, "prefix"])
+
+    numbers = ", ".join(f"{c} bigint" for c in ("t", "size", *PARITIES))
+    return written(texts.mapInArrow(run, f"{numbers}, prefix array<bigint>"))
+
 
-    found = texts.mapInArrow(run, "bucket bigint, t bigint, size bigint").repartition("bucket").distinct()
-    return written(found.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
+def _members(features: DataFrame) -> DataFrame:
+    """(``bucket``, ``t``, ``size``, ``place``, ``n``, parities): shingles that n > 1 texts are found by, their place in each text's prefix."""
+    found = features.select("t", "size", F.posexplode("prefix").alias("place", "bucket")).dropDuplicates(["bucket", "t"])
+    shared = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    each = features.select("t", *PARITIES).dropDuplicates(["t"])
+    return written(found.join(shared, "bucket").join(each, "t"))
 
 
 def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
     """Links (``a``, ``b``) that join the same groups as all pairs of texts (``t``, ``text``) of that similarity or more.
 
     Members of a bucket are compared with some of it, the pivots, and with more
-    of them each round, up to all.  A pair is left out only when links already
-    join it, so a large group of near copies costs a few rows for each member.
+    of them each round, up to all.  Sizes, places (what follows the first shared
+    shingle bounds the overlap) and parities are compared inside the join, so it
+    gives out hardly more than links.  A pair is left out only when links
+    already join it, so a large group of near copies costs a few rows for each
+    member.
     """
     least = round(similarity * _MILLION)
-    members = _members(texts, least, width)
-    maps = arrow_map(texts, "t bigint, bits array<bigint>", lambda batch: {
-        "t": batch.column("t"), "bits": pa.array([_bitmap(shingles(x, width)) for x in texts_of(batch)], pa.list_(pa.int64()))})
-    maps = written(maps.dropDuplicates(["t"]).join(members.select("t").distinct(), "t", "left_semi"))
+    members = _members(_features(texts, least, width)).withColumn("root", F.col("t"))
     at = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
-    members = members.withColumn("root", F.col("t"))
+    sizes = F.col("size") + F.col("_size")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in PARITIES), F.lit(0)).cast("long")
+    ahead = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
+    may = ((F.col("root") != F.col("_root"))
+           & (F.col("size") * _MILLION >= F.col("_size") * least) & (F.col("_size") * _MILLION >= F.col("size") * least)
+           & (ahead * (_MILLION + least) >= sizes * least) & (apart * (_MILLION + least) <= sizes * (_MILLION - least)))
     links, before, limit = None, 0, FIRST
     while True:
-        pivots = members.where((at >= before) & (at < limit)).select("bucket", F.col("t").alias("p"), F.col("root").alias("_root"), F.col("size").alias("_size"))
-        close = (F.col("size") * _MILLION >= F.col("_size") * least) & (F.col("_size") * _MILLION >= F.col("size") * least)
-        met = (members.join(pivots, "bucket").where((F.col("root") != F.col("_root")) & close)
-               .select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b"), (F.col("size") + F.col("_size")).alias("sizes")).distinct())
-        of = {c: maps.select(F.col("t").alias(c), F.col("bits").alias(f"_{c}")) for c in "ab"}
-        apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y).cast("long")
-        pairs = written(met.join(of["a"], "a").join(of["b"], "b").where(
-            apart * (_MILLION + least) <= (F.col("sizes") * (_MILLION - least))).select("a", "b"))
-        wanted = texts.join(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "t", "left_semi")
+        pivots = members.where((at >= before) & (at < limit)).select(
+            F.col("bucket").alias("_bucket"), F.col("t").alias("_t"), *[F.col(c).alias(f"_{c}") for c in ("root", "size", "place", *PARITIES)])
+        pairs = written(members.join(pivots, (F.col("bucket") == F.col("_bucket")) & may)
+                        .select(F.least("t", "_t").alias("a"), F.greatest("t", "_t").alias("b")).distinct())
+        wanted = texts.join(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "t", "left_semi").dropDuplicates(["t"])
         sets = written(arrow_map(wanted, "t bigint, held array<bigint>", lambda batch: {
-            "t": batch.column("t"), "held": pa.array([shingles(x, width).view(np.int64) for x in texts_of(batch)], pa.list_(pa.int64()))}).dropDuplicates(["t"]))
+            "t": batch.column("t"), "held": pa.array([shingles(x, width).view(np.int64) for x in texts_of(batch)], pa.list_(pa.int64()))}))
         one, two = (sets.select(F.col("t").alias(c), F.col("held").alias(f"_{c}")) for c in "ab")
         shared = F.size(F.array_intersect("_a", "_b")).cast("long")
         new = (pairs.join(one, "a").join(two, "b")
@@ -132,7 +138,7 @@ def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> Da
         roots = components(links).select(F.col("node").alias("t"), F.col("root").alias("_new"))
         members = members.drop("root").join(roots, "t", "left").withColumn("root", F.coalesce("_new", "t")).drop("_new")
         split = members.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
-        members = written(members.where(F.col("n") > limit).join(split, "bucket", "left_semi").drop("_lo", "_hi"))
+        members = written(members.where(F.col("n") > limit).join(split, "bucket", "left_semi"))
         if members.isEmpty():
             return links
         before, limit = limit, limit * GROWTH

@@ -12,13 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, written
+from .common import WORD, passing_steps, row_key, written
 from .prefix import running_before
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
 
+def _group(source: str) -> Column:
+    """A source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
+
+
 def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -64,10 +69,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = written(docs.select(
         docs[doc_id].alias("doc_id"), docs[source].alias("source"), docs[text].alias("text"),
     ).select("doc_id", "source", row_key("doc_id", "text").alias("key"), n_words("text").alias("size"),
-             F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_group")))
+             _group("source").alias("_group")))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    targets = written(targets.withColumn("_group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-                      .drop("source", "weight"))
+    targets = written(targets.withColumn("_group", _group("source")).drop("source", "weight"))
     summed = running_before(rows, "_group", "key", F.col("size"), "_before")
     size, whole = F.col("source_size"), F.floor(F.col("target") / F.col("source_size"))
     rest = F.col("target") - whole * size
@@ -81,17 +85,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                     weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as many times as ``mix`` takes it, with all its columns."""
-    taken = (mix(docs, doc_id, text, source, weights, max_epochs)
-             .groupBy("key").agg((F.sum("copies") / F.count("*")).alias("_mean"), F.sum("copies").alias("_sum"),
-                                 F.count("*").alias("_rows")))
-    # rows equal in id and text share a key; their copies are dealt out among them as evenly as possible
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    single = keyed.join(taken.where("_sum > 0").withColumnRenamed("key", "_key"), "_key")
-    times = F.floor(F.col("_mean")).cast("int")
-    over = F.col("_sum") - times * F.col("_rows")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    return (single.withColumn("_times", times + F.when(nth <= over, 1).otherwise(0))
+    """The mixed corpus: each row of ``docs`` as many times as ``mix`` takes it, with all its columns.
+
+    Rows equal in id, text and source share their copies as evenly as possible,
+    whatever their other columns hold.  Nulls and ties as in ``mix``; an empty
+    table gives an empty one.
+    """
+    with passing_steps(docs.sparkSession):
+        taken = written(mix(docs, doc_id, text, source, weights, max_epochs)
+                        .groupBy("key", _group("source").alias("_of"))
+                        .agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+                        .where("_sum > 0").withColumnRenamed("key", "_key"), keep=True)
+        keyed = docs.withColumns({"_key": row_key(doc_id, text), "_of": _group(source)})
+        # within a source at most one group of equal rows is cut: only its rows need an order, and they are sorted in slices
+        cut = taken.where("_sum % _rows > 0")
+        rows = written(keyed.join(cut, ["_key", "_of"]).withColumn("_row", F.monotonically_increasing_id()), keep=True)
+        rows = rows.withColumns({"_cut": F.md5(F.concat_ws(" ", "_key", "_of")), "_at": F.md5(F.col("_row").cast("string"))})
+        ranked = running_before(rows, "_cut", "_at", F.lit(1), "_nth")
+        over = F.col("_sum") % F.col("_rows")
+        times = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_nth") < over, 1).otherwise(0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    even = keyed.join(taken.where("_sum % _rows = 0"), ["_key", "_of"]).select(*columns, (F.col("_sum") / F.col("_rows")).cast("int").alias("_times"))
+    return (even.union(ranked.select(*columns, times.cast("int").alias("_times")))
             .where("_times > 0")
             .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*columns))

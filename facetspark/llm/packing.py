@@ -96,11 +96,16 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+def position_type(length: int) -> str:
+    """The type of positions in rows of that length."""
+    return "<u2" if length <= 1 << 16 else "<u4"
+
+
 def _block(pieces: list[tuple[int | None, int, np.ndarray]], layout: Layout, dtype: str, first_id: int) -> pa.RecordBatch:
     rows = best_fit_decreasing([len(p[2]) for p in pieces], layout.length)
     out: dict[str, list] = {name.split()[0]: [] for name in SCHEMA.split(", ")}
     for n, row in enumerate(rows):
-        ids, places = np.full(layout.length, layout.pad_id, dtype), np.zeros(layout.length, dtype)
+        ids, places = np.full(layout.length, layout.pad_id, dtype), np.zeros(layout.length, position_type(layout.length))
         ends = [0]
         for i in row:
             piece, at = pieces[i][2], ends[-1]
@@ -121,8 +126,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
          layout: Layout = Layout()) -> DataFrame:
     """Packed rows of ``layout.length`` ids.
 
-    ``ids`` and ``position_ids`` hold little-endian unsigned integers, two
-    bytes each if the vocabulary has at most 65,536 ids, else four.  Segment k
+    ``ids`` and ``position_ids`` hold little-endian unsigned integers: ids of
+    two bytes if the vocabulary has at most 65,536, positions of two bytes in
+    rows of at most 65,536 (``position_type``), else four.  Segment k
     of a row is ``ids[cu_seqlens[k]:cu_seqlens[k+1]]`` and belongs to
     ``doc_ids[k]``, from its token ``starts[k]`` on; positions start again at 0
     with each segment and with the padding.  A text is followed by ``end_id``

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, row_key, texts_of, written
+from .common import arrow_map, passing_steps, row_key, texts_of, written
 from .components import components
 from .jaccard import WIDTH, similar_links
 
@@ -111,9 +111,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
 
     A row that repeats stays once.  With a ``similarity`` also texts whose
     shingles of ``width`` words have that Jaccard similarity or more are
-    linked, however many bits their fingerprints differ in.
+    linked, however many bits their fingerprints differ in.  Only the keys of
+    the rows kept stay on disk.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = _grouped(docs, doc_id, text, similarity, width).groupBy("root").agg(F.min(rank).alias("_best")).select(F.col("_best.key").alias("_kept"))
+    with passing_steps(docs.sparkSession):
+        grouped = _grouped(docs, doc_id, text, similarity, width)
+        best = written(grouped.groupBy("root").agg(F.min(rank).alias("_best")).select(F.col("_best.key").alias("_kept")), keep=True)
     kept = docs.withColumn("_row", row_key(doc_id, text)).join(best, F.col("_row") == F.col("_kept"), "left_semi")
     return kept.dropDuplicates(["_row"]).drop("_row")

@@ -330,3 +330,87 @@ def test_similar_texts_against_brute_force(spark, docs_of, hard_rows):
     kept = simhash.keep_one(docs, similarity=0.8).collect()
     assert len([r for r in kept if r.text in texts]) == len(set(groups(pairs + close)))
     assert jaccard.similar_links(named.limit(0), 0.8).count() == 0
+
+
+def test_similar_texts_in_few_rows(spark):
+    """A large group of near copies around one text is joined by about as many links as it has members."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for i in range(600):
+        changed = list(base)
+        changed[rng.randrange(200)] = f"x{i}"
+        texts.append((i, " ".join(changed)))
+    frame = spark.createDataFrame(texts, "t long, text string").repartition(4)
+    found = jaccard.similar_links(frame, 0.8).collect()
+    assert 599 <= len(found) < 20 * 600
+    parent = list(range(600))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in found:
+        parent[top(r.a)] = top(r.b)
+    assert len({top(i) for i in range(600)}) == 1
+
+
+def test_mixed_documents_keep_to_sources(spark, docs_of):
+    """Sources that share ids and texts get the words that each was dealt, repeated rows their even share."""
+    rows = [(i, f"word {i} and " * (3 + i % 5), s) for i in range(60) for s in ("a", "b", None)]
+    rows += [(100, "the same row again", "a")] * 7 + [(None, "no id here", None), (None, None, "b"), (101, "", "a")]
+    docs = docs_of(rows)
+
+    def words_of(frame):
+        taken: dict = {}
+        for r in frame.collect():
+            at = (r.doc_id, r.source)
+            taken[at] = taken.get(at, 0) + len((r.text or "").split())
+        return {k: v for k, v in taken.items() if v}
+
+    want: dict = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and words_of(got) == {k: v for k, v in want.items() if v}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_cut_evenly(spark, docs_of):
+    """A source of equal rows only: its budget ends inside the group."""
+    docs = docs_of([(1, "word " * 100, "a")] * 10 + [(i, "word " * 47, "b") for i in range(2, 12)])
+    taken = sum(r.copies for r in mixing.mix(docs).where("source = 'a'").collect())
+    got = mixing.mixed_documents(docs).where("source = 'a'").count()
+    assert got == taken and taken % 10
+
+
+def test_items_without_id_contaminate(spark, docs_of):
+    item = " ".join(f"term{i}" for i in range(20))
+    docs = docs_of([(1, f"before {item} after"), (2, "clean words only, and some more of them"), (3, None), (4, "")])
+    items = spark.createDataFrame([(None, item), (7, None), (8, "too short")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.without_items(docs, items).collect()) == [2, 3, 4]
+    report = {r.doc_id: (r.contaminated, r.n_items, r["items"]) for r in decontamination.decontamination_report(docs, items).collect()}
+    assert report == {1: (True, 0, ""), 2: (False, 0, ""), 3: (False, 0, ""), 4: (False, 0, "")}
+
+
+def test_items_that_share_a_line(spark, docs_of):
+    """Items with a common line: a document that holds the line alone isn't contaminated, one that holds an item is."""
+    line = " ".join(f"shared{i}" for i in range(10))
+    own = [" ".join(f"item{k}word{i}" for i in range(30)) for k in range(12)]
+    items = spark.createDataFrame([(k, f"{line} {own[k]}") for k in range(12)], "item_id long, text string")
+    docs = docs_of([(1, f"a b {line} c d"), (2, f"x {line} {own[3]} y"), (3, f"{line} {own[5]} and {line} {own[6]}")])
+    found = {(r.item_id, r.shared, r.of) for r in decontamination.contaminated(docs, items).collect()}
+    assert {f[0] for f in found} == {3, 5, 6} and all(s == of for _, s, of in found)
+    assert [r.doc_id for r in decontamination.without_items(docs, items).collect()] == [1]
+
+
+def test_steps_go_and_the_result_stays(spark, docs_of, tmp_path, monkeypatch):
+    from facetspark.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    docs = docs_of([(i, f"some text of number {i % 3} and a few words more") for i in range(9)])
+    kept = simhash.keep_one(docs, similarity=0.8)
+    assert len(list(tmp_path.glob("step-*"))) == 1 and kept.count() == 3
