@@ -16,16 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of, written
+from .common import arrow_map, passing_steps, texts_of, written
 from .components import components
 
 WIDTH = 5
 CELLS = 1 << 18
 #: Parities of a set of shingles, in columns of 64.
-PARITIES = tuple(f"b{k}" for k in range(8))
+PARITIES = tuple(f"b{k}" for k in range(4))
 #: Pivots of a bucket in the first round, and how many times as many there are after each further one.
 FIRST, GROWTH = 2, 4
 _MILLION = 1_000_000
@@ -94,12 +94,19 @@ def _features(texts: DataFrame, least: int, width: int) -> DataFrame:
     return written(texts.mapInArrow(run, f"{numbers}, prefix array<bigint>"))
 
 
-def _members(features: DataFrame) -> DataFrame:
-    """(``bucket``, ``t``, ``size``, ``place``, ``n``, parities): shingles that n > 1 texts are found by, their place in each text's prefix."""
-    found = features.select("t", "size", F.posexplode("prefix").alias("place", "bucket")).dropDuplicates(["bucket", "t"])
-    shared = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    each = features.select("t", *PARITIES).dropDuplicates(["t"])
-    return written(found.join(shared, "bucket").join(each, "t"))
+def _members(texts: DataFrame, least: int, width: int) -> DataFrame:
+    """(``bucket``, ``t``, ``place``, ``n``, ``size``, parities): shingles that n > 1 texts are found by, their place in each text's prefix.
+
+    The shingles are shuffled once.  A bucket's rows pass through one task to be
+    counted, some 30 bytes each, on disk where they are many.
+    """
+    with passing_steps(texts.sparkSession):
+        features = _features(texts, least, width)
+        found = features.select("t", F.posexplode("prefix").alias("place", "bucket")).select("bucket", "t", "place")
+        found = found.repartition("bucket").dropDuplicates(["bucket", "t"])
+        shared = written(found.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
+        each = features.select("t", "size", *PARITIES).dropDuplicates(["t"])
+        return written(shared.join(each, "t"), keep=True)
 
 
 def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
@@ -113,7 +120,7 @@ def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> Da
     member.
     """
     least = round(similarity * _MILLION)
-    members = _members(_features(texts, least, width)).withColumn("root", F.col("t"))
+    members = _members(texts, least, width).withColumn("root", F.col("t"))
     at = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
     sizes = F.col("size") + F.col("_size")
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in PARITIES), F.lit(0)).cast("long")
