@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ SHINGLE = 3
 SEED = 42
 BITS = 64
 RADIUS = 2
+CROWD = 4096                # fingerprints that share a segment's value before their other bits are cut too
 _BLOCK = 1 << 15
 
 
@@ -51,27 +52,75 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return arrow_map(rows, f"doc_id {kind}, key string, t bigint, fingerprint bigint", table)
 
 
-def balls(fp: str) -> Column:
-    """The index keys of a fingerprint: each of its two 32-bit segments runs through its Hamming ball of radius 1
-    while the other stays.  The centre is in both balls and is listed once."""
-    return F.array(F.col(fp), *[F.col(fp).bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(BITS)])
+def segments(bits: int, radius: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, ball) of the segments of a number of ``bits`` bits: two numbers that differ in at most
+    ``radius`` bits differ in no more than its ball in one of them.
+
+    With r = pieces * each + more, the first more + 1 segments have a ball of
+    ``each`` and the rest of one less: numbers beyond all of them differ in at
+    least r + 1 bits.  The number of pieces keeps balls at a radius of 1.
+    """
+    pieces = max(2, radius // 2 + 1)
+    each, more = divmod(radius, pieces)
+    cuts = [bits * n // pieces for n in range(pieces + 1)]
+    return [(low, high - low, ball) for n, (low, high) in enumerate(zip(cuts, cuts[1:])) if (ball := each - (n > more)) >= 0]
+
+
+def _value(number: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(number, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _entries(number: Column, cut: list[tuple[int, int, int]]) -> Column:
+    """What a number enters in the tables: (``segment``, ``value``), once for each segment."""
+    return F.array(*[F.struct(F.lit(n).alias("segment"), _value(number, low, width).alias("value")) for n, (low, width, _) in enumerate(cut)])
+
+
+def _masks(width: int, ball: int) -> list[int]:
+    """The bits to change for each value in a ball, none first."""
+    return [sum(1 << b for b in bits) for k in range(ball + 1) for bits in combinations(range(width), k)]
+
+
+def _probes(number: Column, cut: list[tuple[int, int, int]]) -> Column:
+    """Where a number looks: (``segment``, ``value``) for all values in the Hamming ball of each of its segments."""
+    found = []
+    for n, (low, width, ball) in enumerate(cut):
+        found += [F.struct(F.lit(n).alias("segment"), _value(number, low, width).bitwiseXOR(F.lit(c).cast("long")).alias("value"))
+                  for c in _masks(width, ball)]
+    return F.array(*found)
+
+
+def _rest(number: Column, low: int, width: int) -> Column:
+    """The number turned so that a segment is on top and the other bits lie together below it."""
+    return F.shiftleft(number, 64 - low - width).bitwiseOR(F.shiftrightunsigned(number, low + width))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) between different fingerprints that join the same groups as all pairs at distance <= 2.
+def links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """All pairs (``a`` < ``b``) of different fingerprints that differ in at most ``radius`` bits.
 
-    Two fingerprints differ in at most two bits exactly if a ball of one and a
-    ball of the other share a key: bits in different segments meet where each
-    has given up one, bits in one segment meet inside that segment's ball.  A
-    key's matches lie within 1 of it, so there are at most 65, all within 2 of
-    one another; each is linked to the least and the distance verified.
+    Every fingerprint enters one table for each of its segments, and looks up
+    the Hamming ball of each segment there; what it meets is compared on all
+    bits inside the join, so that only links come out.  A value that more than
+    ``crowd`` fingerprints share is cut again by the segments of their other
+    bits in the same way, so that those who meet there share half of these too.
     """
-    table = prints.select("fingerprint", F.explode(balls("fingerprint")).alias("_key"))
-    found = table.groupBy("_key").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("_b"), F.count("*").alias("_n"))
-    met = written(found.where("a < _b"))
-    pairs = met.select("a", F.col("_b").alias("b"))
-    more = met.where("_n > 2").select("_key", "a").join(table, "_key").select("a", F.col("fingerprint").alias("b"))
-    return (pairs.union(more).where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct())
+    cut = segments(BITS, radius)
+    prints = prints.select("fingerprint").distinct()
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    looking = prints.select(F.col("fingerprint").alias("a"), F.inline(_probes(F.col("fingerprint"), cut)))
+    tables = prints.select(F.col("fingerprint").alias("b"), F.inline(_entries(F.col("fingerprint"), cut)))
+    crowded = written(tables.groupBy("segment", "value").count().where(F.col("count") > crowd).select("segment", "value"))
+    at = ["segment", "value"]
+    if crowded.isEmpty():
+        return looking.join(tables, at).where(near).select("a", "b").distinct()
+    found = looking.join(tables.join(crowded, at, "left_anti"), at).where(near).select("a", "b")
+    for n, (low, width, _) in enumerate(cut):
+        of = crowded.where(F.col("segment") == n)
+        finer = segments(BITS - width, radius)
+        one, two = (side.where(F.col("segment") == n).join(of, at, "left_semi").select(
+            c, F.col("value").alias("first"), F.inline(keys(_rest(F.col(c), low, width), finer)))
+            for side, c, keys in ((looking, "a", _probes), (tables, "b", _entries)))
+        found = found.union(one.join(two, ["first", *at]).where(near).select("a", "b"))
+    return found.distinct()
 
 
 def _similar(docs: DataFrame, prints: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
@@ -83,11 +132,11 @@ def _similar(docs: DataFrame, prints: DataFrame, text: str, similarity: float, w
             .join(of.select(F.col("t").alias("b"), F.col("f").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float | None = None, width: int = WIDTH) -> DataFrame:
+def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float | None = None, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, key, fingerprint, root (a fingerprint of the group) and component_id of every row."""
     prints = written(fingerprints(docs, doc_id, text))
     each = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    close = links(each)
+    close = links(each, radius)
     roots = components(close if similarity is None else close.union(_similar(docs, prints, text, similarity, width)))
     named = each.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))
@@ -95,14 +144,15 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float | None =
     return prints.join(named.join(ids, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of its group).
 
-    Copies collapse to one fingerprint before anything is compared.  Empty and
+    Fingerprints link at ``radius`` or fewer differing bits.  Copies collapse
+    to one fingerprint before anything is compared.  Empty and
     null texts form one group (fingerprint 0).  Null ids take part but never
     name a group unless it has no other id; repeated rows stay repeated.
     """
-    return _grouped(docs, doc_id, text).select(
+    return _grouped(docs, doc_id, text, radius=radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 

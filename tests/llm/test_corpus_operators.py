@@ -269,18 +269,31 @@ def test_near_duplicates_against_brute_force(docs_of, hard_rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def test_links_join_all_close_fingerprints(spark):
+@pytest.mark.parametrize("radius, crowd", [(0, 4096), (1, 4096), (2, 4096), (2, 3), (3, 4096), (3, 3), (6, 4096), (6, 5)])
+def test_links_are_all_close_fingerprints(spark, radius, crowd):
+    """Every pair within the radius and no other, also where a segment's value is crowded."""
     rng = random.Random(4)
     prints = {0}
-    for _ in range(12):
+    for _ in range(8):
         centre = rng.getrandbits(64)
-        prints |= {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(12)}
-    prints |= {1 << 63, (1 << 63) | 1}
+        prints |= {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(16)}
+    prints |= {1 << 63, (1 << 63) | 1, (1 << 64) - 1}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fingerprint long"))
-    roots = {r.node: r.root for r in components(found).collect()}
-    groups = plain_groups([(p, p & (1 << 64) - 1) for p in signed])
-    assert [roots.get(p, p) for p in signed] == groups
+    mask = (1 << 64) - 1
+    want = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1:] if ((a ^ b) & mask).bit_count() <= radius]
+    frame = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    assert sorted(map(tuple, simhash.links(frame, radius, crowd).collect())) == want
+    assert simhash.links(frame.limit(0), radius, crowd).count() == 0
+
+
+def test_segments_cover_the_radius():
+    for radius in range(12):
+        cut = simhash.segments(64, radius)
+        assert all(ball <= 1 for _, _, ball in cut)
+        # the least that two numbers beyond every ball differ in; segments without a ball may be equal
+        assert sum(ball + 1 for _, _, ball in cut) > radius
+    entries = [len(simhash._masks(width, ball)) + 1 for _, width, ball in simhash.segments(64, 2)]
+    assert sum(entries) < 65
 
 
 def test_components_of_chains(spark):
