@@ -14,7 +14,7 @@ no task compares or holds more than its block.
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of, written
 from .debruijn import _BASES, Powers, _lists, _signed, mixed
+from .prefix import running_before
 
 LENGTH = 400
 GRAM = 32
@@ -31,8 +32,10 @@ V = 73
 COVER = tuple(sorted(pow(2, i, V) for i in range(9)))
 RANKED = 4 * V              # bytes that a cover rank tells apart, after two doublings
 TAIL = LENGTH - RANKED      # the last bytes of a string, beyond what the rank at offset 0 sees
-BLOCK = 1 << 18             # suffixes sorted together
-PIECE = 1 << 22             # suffixes of one text looked at together
+BLOCK = 1 << 18             # suffixes of the largest bucket that one task sorts; a task gets fewer than twice as many
+TOGETHER = 1 << 16          # suffixes of small buckets sorted together
+PIECE = 1 << 20             # suffixes of one text looked at together
+SENT = 1 << 22              # bytes of runs that a task gives out at a time
 
 
 class Bytes:
@@ -137,29 +140,46 @@ def _anchors(batch: pa.RecordBatch) -> dict:
         "n_bytes": pa.array(sizes, pa.int64()), "whole": digests, "anchors": _lists(anchors, pa.int64())}
 
 
-RUN = "array<struct<start:int,size:int,anchor:bigint,d1:bigint,d2:bigint,bytes:binary>>"
-_RUN = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                           ("bytes", pa.binary())]))
+_RUN = "row bigint, start int, size int, anchor bigint, d1 bigint, d2 bigint, bytes binary"
 
 
-def _runs(batch: pa.RecordBatch) -> pa.RecordBatch:
-    coder, out = Bytes(), []
-    for text, nths in zip(texts_of(batch), batch.column("nths")):
-        data = np.frombuffer(text, np.uint8)
-        starts, sizes, anchors = (x[np.array(nths.as_py())] for x in coder.runs(data))
-        ends = starts + sizes + LENGTH - 1
-        rows = zip(starts.tolist(), sizes.tolist(), _signed(anchors).tolist(), _signed(coder.digests(data, starts, ends, 0)).tolist(),
-                   _signed(coder.digests(data, starts, ends, 1)).tolist(), [text[s:e] for s, e in zip(starts, ends)])
-        out.append([dict(zip(("start", "size", "anchor", "d1", "d2", "bytes"), r)) for r in rows])
-    return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(out, _RUN)], ["row", "text", "runs"])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen runs of each text, a row each, given out before they come to ``SENT`` bytes and a run."""
+    coder = Bytes()
+    for batch in batches:
+        for row, text, nths in zip(batch.column("row").to_pylist(), texts_of(batch), batch.column("nths")):
+            data = np.frombuffer(text, np.uint8)
+            starts, sizes, anchors = (x[np.array(nths.as_py())] for x in coder.runs(data))
+            ends = starts + sizes + LENGTH - 1
+            d1, d2 = (coder.digests(data, starts, ends, which) for which in (0, 1))
+            parts = np.cumsum(ends - starts) // SENT
+            for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(parts)) + 1):
+                yield pa.RecordBatch.from_pydict({
+                    "row": np.full(len(part), row, np.int64), "start": starts[part].astype(np.int32), "size": sizes[part].astype(np.int32),
+                    "anchor": _signed(anchors[part]), "d1": _signed(d1[part]), "d2": _signed(d2[part]),
+                    "bytes": pa.array([text[s:e] for s, e in zip(starts[part].tolist(), ends[part].tolist())], pa.binary())})
 
 
 _FOUND = "d1 bigint, d2 bigint, lows array<int>, highs array<int>"
 
 
 def _sorted_block(table: pa.Table) -> pa.Table:
-    flags = repeated_in_block(table["bytes"].to_pylist(), table["size"].to_pylist())
-    lows, highs = zip(*map(_ranges, flags))
+    """What repeats in a block, a few whole buckets at a time: ``TOGETHER`` suffixes, or one bucket that has more."""
+    table = table.sort_by("anchor")
+    sizes, anchors = table["size"].to_numpy().astype(np.int64), table["anchor"].to_numpy()
+    firsts = np.concatenate([[0], np.flatnonzero(np.diff(anchors)) + 1])
+    parts, held = [0], 0
+    for first, n in zip(firsts.tolist(), np.add.reduceat(sizes, firsts).tolist()):
+        if held and held + n > TOGETHER:
+            parts.append(first)
+            held = 0
+        held += n
+    lows, highs = [], []
+    for start, end in zip(parts, [*parts[1:], len(table)]):
+        flags = repeated_in_block(table["bytes"].slice(start, end - start).to_pylist(), sizes[start:end].tolist())
+        for low, high in map(_ranges, flags):
+            lows.append(low)
+            highs.append(high)
     kind = pa.list_(pa.int32())
     return pa.table({"d1": table["d1"], "d2": table["d2"], "lows": pa.array(lows, kind), "highs": pa.array(highs, kind)})
 
@@ -213,21 +233,22 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     wanted = (placed.join(shared, "anchor", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
               .join(firsts.select("row", "of_id", F.col("t1").alias("u1"), F.col("t2").alias("u2")), "row"))
     ours = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
-    work = written(arrow_map(ours.select("row", "text", "nths"), f"row bigint, text string, runs {RUN}", _runs))
-
-    runs = work.select("row", F.explode("runs").alias("r")).select("row", "r.*")
+    ours = written(ours.select("row", "text", "nths"))
+    runs = written(ours.mapInArrow(_runs, _RUN))
     # rows repeated with the same id and text bring the same places again, so places are told apart, not rows
     kinds = written(runs.groupBy("d1", "d2").agg(F.min(F.struct("row", "start")).alias("a"), F.max(F.struct("row", "start")).alias("b"),
                                                  F.first("anchor").alias("anchor"), F.first("size").alias("size")))
     buckets = written(kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("suffixes")).where("n > 1"))
-    total = buckets.agg(F.sum("suffixes")).first()[0] or 0
-    blocks = max(1, math.ceil(total / block))
+    # buckets go to blocks in random order by a running sum of their sizes
+    sized = buckets.where(F.col("suffixes") <= block).select(F.lit(0).alias("_all"), "anchor", "suffixes", F.md5(F.col("anchor").cast("string")).alias("_key"))
+    blocks = running_before(sized, "_all", "_key", F.col("suffixes"), "_before").select(
+        F.col("anchor"), F.floor(F.col("_before") / block).alias("block"))
     chosen = kinds.select("d1", "d2", "anchor", "a.row", "a.start")
     chosen = chosen.join(buckets, "anchor").select("d1", "d2", "row", "start", "anchor", (F.col("suffixes") > block).alias("hot"))
     carried = (runs.select("row", "start", "size", "bytes").join(chosen, ["row", "start"])
                .dropDuplicates(["d1", "d2"]).select("d1", "d2", "size", "bytes", "anchor", "hot"))
     carried = written(carried)
-    sorted_ = (carried.where("not hot").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
+    sorted_ = (carried.where("not hot").join(blocks, "anchor")
                .groupBy("block").applyInArrow(_sorted_block, _FOUND))
     suffixes = arrow_map(carried.where("hot").select("d1", "d2", "size", "bytes"), "s1 bigint, s2 bigint, d1 bigint, d2 bigint, at int", _suffixes)
     twice = suffixes.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2")
@@ -238,7 +259,7 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     ranges = (runs.select("row", "start", "d1", "d2").join(found, ["d1", "d2"])
               .groupBy("row").agg(F.collect_list(F.struct("start", "lows", "highs")).alias("ranges")))
-    lost = written(arrow_map(work.select("row", "text").join(ranges, "row"),
+    lost = written(arrow_map(ours.select("row", "text").join(ranges, "row"),
                              "row bigint, n_removed bigint, n_spans bigint, kept_sha256 string", _kept)).distinct()
     copies = cut.drop("anchors").join(firsts.select("t1", "t2", "times"), ["t1", "t2"])
     gone = (F.col("times") > 1) & (F.col("n_bytes") >= LENGTH)
