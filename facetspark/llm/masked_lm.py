@@ -9,8 +9,9 @@ vocabulary.
 
 Training is data-parallel: every task runs gradient descent over its share of
 the documents from the same weights, and Spark averages the weights by the
-number of tokens seen.  Every document takes part in every round: of its
-positions each ``stride``-th is a training target, in each round another one.
+number of tokens seen.  Every document takes part in every round, and every
+position is a training target: the places in a stretch of ``stride`` are dealt
+to the rounds, so the rounds together look at all of them.
 """
 
 from __future__ import annotations
@@ -107,13 +108,23 @@ class Network:
         return np.stack([padded[at + k] for k in (*range(w), *range(w + 1, 2 * w + 1))], axis=1)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.einsum("nkd,kd->nd", self.embed[context], self.place)
+        # an id weighs the same wherever it is seen at a place, so it is weighed once
+        seen = np.zeros((len(context), self.setting.width), np.float32)
+        for weight, at in zip(self.place, context.T):
+            seen += (self.embed * weight).take(at, axis=0)
         return seen, np.tanh(seen @ self.mix + self.bias)
 
+    def by_group(self, group: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each group that occurs, with its rows."""
+        order = np.argsort(group.astype(np.min_scalar_type(self.setting.groups)), kind="stable")
+        rows = np.split(order, np.cumsum(np.bincount(group, minlength=self.setting.groups))[:-1])
+        return [(k, r) for k, r in enumerate(rows) if len(r)]
+
     @staticmethod
     def _log_softmax(x: np.ndarray) -> np.ndarray:
         x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+        x -= np.log(np.exp(x).sum(1, keepdims=True))
+        return x
 
     def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given what is around it."""
@@ -121,9 +132,7 @@ class Network:
         _, hidden = self.forward(context)
         group, member = target % g, target // g
         out = self._log_softmax(hidden @ self.group + self.group_bias)[np.arange(len(target)), group]
-        order = np.argsort(group, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            k = group[rows[0]]
+        for k, rows in self.by_group(group):
             inner = self._log_softmax(hidden[rows] @ self.token[k] + self.token_bias[k])
             out[rows] += inner[np.arange(len(rows)), member[rows]]
         return out
@@ -136,9 +145,8 @@ class Network:
         error = np.exp(self._log_softmax(hidden @ self.group + self.group_bias))
         error[np.arange(n), group] -= 1
         back = error @ self.group.T
-        order = np.argsort(group, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            k, h = group[rows[0]], hidden[rows]
+        for k, rows in self.by_group(group):
+            h = hidden[rows]
             inner = np.exp(self._log_softmax(h @ self.token[k] + self.token_bias[k]))
             inner[np.arange(len(rows)), member[rows]] -= 1
             back[rows] += inner @ self.token[k].T
@@ -150,14 +158,17 @@ class Network:
         back_seen = back @ self.mix.T
         self.mix -= rate / n * (seen.T @ back)
         self.bias -= rate / n * back.sum(0)
-        vectors = self.embed[context]
-        self.place -= rate / n * np.einsum("nkd,nd->kd", vectors, back_seen)
-        change = (back_seen[:, None, :] * self.place).reshape(-1, self.setting.width)
-        flat = context.reshape(-1)
-        used, where, times = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.argsort(where, kind="stable")
-        sums = np.add.reduceat(change[order], np.concatenate([[0], np.cumsum(times)[:-1]]), axis=0)
-        self.embed[used] -= rate / np.sqrt(times)[:, None] / np.sqrt(n) * sums
+        # the rows that see an id at a place are summed once, for the id's vector and for the place
+        small = context.astype(np.min_scalar_type(self.setting.ids))
+        change, times = np.zeros_like(self.embed), np.zeros(len(self.embed), np.int64)
+        for k in range(context.shape[1]):
+            order, counts = np.argsort(small[:, k], kind="stable"), np.bincount(context[:, k], minlength=len(times))
+            used = np.flatnonzero(counts)
+            sums = np.add.reduceat(back_seen[order], (np.cumsum(counts) - counts)[used], axis=0)
+            change[used] += sums * self.place[k]
+            self.place[k] -= rate / n * (self.embed[used] * sums).sum(0)
+            times += counts
+        self.embed -= rate / np.sqrt(np.maximum(times, 1))[:, None].astype(np.float32) / np.float32(np.sqrt(n)) * change
 
 
 def _in_batches(texts: Iterator[np.ndarray], size: int, pick) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -175,6 +186,13 @@ def _in_batches(texts: Iterator[np.ndarray], size: int, pick) -> Iterator[tuple[
         yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
+def targets(n: int, round_: int, setting: Setting) -> np.ndarray:
+    """The positions of a text of ``n`` tokens that a round trains on; all rounds together train on every one."""
+    # shifted by one from stretch to stretch, so that no round sees only some words of a text that repeats itself
+    shares, at = min(setting.rounds, setting.stride), np.arange(n)
+    return at[(at % setting.stride + at // setting.stride) % shares == round_ % shares]
+
+
 def train(docs: DataFrame, words: list[bytes], setting: Setting) -> np.ndarray:
     """The weights after ``setting.rounds`` rounds over all documents (``doc_id``, ``text``)."""
     spark, weights = docs.sparkSession, Network(setting).flat
@@ -186,12 +204,12 @@ def train(docs: DataFrame, words: list[bytes], setting: Setting) -> np.ndarray:
             coder, net, seen = Coder(known, setting), Network(setting, start.copy()), 0
 
             def pick(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                at = np.arange(round_ % setting.stride, len(ids), setting.stride)
+                at = targets(len(ids), round_, setting)
                 for i in range(0, len(at), setting.batch):
                     yield net.contexts(ids, at[i:i + setting.batch]), ids[at[i:i + setting.batch]]
 
             texts = (coder.ids(t) for batch in batches for t in texts_of(batch))
-            for context, target in _in_batches(texts, setting.batch // 4, pick):
+            for context, target in _in_batches(texts, setting.batch, pick):
                 net.step(context, target, setting.rate / (1 + round_))
                 seen += len(target)
             if seen:

@@ -224,3 +224,16 @@ def test_bands_reject_base64_whole_and_in_part():
         assert not judge(prose(90_000) + b"\n" + encoded(10_000, width))[-1]
     for n in (512, 1024, 2048, 4096):
         assert not quality.in_band(n, judge.ratio(encoded(n, n)), quality.BANDS)
+
+
+@pytest.mark.parametrize("rounds, stride", [(2, 8), (3, 8), (3, 2), (1, 1)])
+def test_masked_model_trains_on_every_position(spark, docs_of, rounds, stride):
+    """Every eighth word is the same one, so a position that is no target leaves a word that is never guessed."""
+    setting = masked_lm.Setting(groups=8, other=8, window=2, width=12, rounds=rounds, stride=stride, batch=8)
+    for n in (0, 1, 7, 33):
+        seen = np.concatenate([masked_lm.targets(n, r, setting) for r in range(min(rounds, stride))])
+        assert sorted(seen) == list(range(n))
+    docs = docs_of([(i, "one two three four five six seven eight " * 40) for i in range(40)]).select("doc_id", "text")
+    words = masked_lm.vocabulary(docs, setting)
+    got = masked_lm.score(docs, words, masked_lm.train(docs.coalesce(1), words, setting), setting)
+    assert got.agg({"mean_log_likelihood": "min"}).first()[0] > -1.5  # an even guess has -4.2
