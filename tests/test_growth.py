@@ -22,3 +22,19 @@ def test_lines_are_dealt_by_customer_once(spark, sf_dir, monkeypatch, rows):
     assert re.search(r"Exchange hashpartitioning\([^)]*p_type", plan_of(fixtures.flat_main(spark, sf_dir)))
     assert rows(fixtures.flat_tags(spark, sf_dir)) == rows(tags)
     assert rows(fixtures.flat_main(spark, sf_dir)) == rows(main)
+
+
+def test_index_grows_with_the_tags(spark, rows):
+    """Rare values are listed, a common one is a bitmap; both are found, and no map task sends bitmaps."""
+    numbered = spark.range(1, 70_001).select(F.concat(F.lit("e"), F.col("id")).alias("accession"), F.col("id").alias("row_no"), (F.col("id") % 3).alias("kingdom"))
+    rare = spark.range(1, 70_001, 50).select(
+        F.concat(F.lit("e"), F.col("id")).alias("accession"), F.lit("biome").alias("level"), F.concat(F.lit("v"), F.col("id") % 700).alias("value"))
+    common = spark.range(1, 70_001, 2).select(F.concat(F.lit("e"), F.col("id")).alias("accession"), F.lit("realm").alias("level"), F.lit("common").alias("value"))
+    tags = rare.unionAll(rare).unionAll(common)
+    index = tag_index.build_tag_index(numbered, tags, DATASET)
+    assert index.agg(F.sum(F.coalesce(F.octet_length("bits"), 2 * F.size("places")))).first()[0] <= 4 * 4096 + 2 * 1400
+    assert "partial_bitmap_construct_agg" not in plan_of(index).split("Exchange hashpartitioning(level", 1)[1]
+    for spec in (filters.FilterSpec.build(tag_values=["v1", "common"]), filters.FilterSpec.build(tag_values=["v1", "v51"]), filters.FilterSpec.build(tag_levels=["biome"])):
+        got = tag_index.filter_indexed(numbered, index, spec, DATASET)
+        assert rows(got) == rows(filters.apply_filters(numbered, tags, spec, DATASET)) and got.count()
+        assert rows(tag_index.tag_counts_indexed(numbered, index, spec, DATASET)) == rows(kpi.tag_distinct_counts(numbered, tags, spec, DATASET))
