@@ -237,3 +237,28 @@ def test_masked_model_trains_on_every_position(spark, docs_of, rounds, stride):
     words = masked_lm.vocabulary(docs, setting)
     got = masked_lm.score(docs, words, masked_lm.train(docs.coalesce(1), words, setting), setting)
     assert got.agg({"mean_log_likelihood": "min"}).first()[0] > -1.5  # an even guess has -4.2
+
+
+def test_masked_model_learns_alike_from_ids_and_texts(docs_of, hard_rows, tiny):
+    """The ids written once stand for the texts: weights and scores are the same as by reading the texts each round."""
+    docs = docs_of(hard_rows).select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id", "text")
+    words = masked_lm.vocabulary(docs, tiny)
+    coded = masked_lm.encoded(docs, words, tiny)
+    assert coded.columns == ["doc_id", "ids"] and coded.count() == len(hard_rows)
+    weights = masked_lm.train(docs, words, tiny)
+    assert np.array_equal(weights, masked_lm.train(coded, words, tiny))
+    one, two = (sorted(map(repr, masked_lm.score(rows, words, weights, tiny).collect())) for rows in (docs, coded))
+    assert one == two
+
+
+def test_masked_model_sees_the_same_contexts_in_parts(tiny):
+    """A text cut into parts sees what lies across the cut, and only ``window`` blanks beyond its ends."""
+    net, ids = masked_lm.Network(tiny), np.arange(23, dtype=np.int32)
+    blank, at = tiny.ids, np.arange(23)
+    wide = np.concatenate([[blank] * 2, ids, [blank] * 2])
+    plain = np.array([[wide[i], wide[i + 1], wide[i + 3], wide[i + 4]] for i in range(23)])
+    for cuts in ([], [1], [5, 6, 20]):
+        parts = [(ids, part) for part in np.split(at, cuts)]
+        assert np.array_equal(net.contexts([*parts, (ids[:1], at[:1])])[:-1], plain)
+    odd = masked_lm.targets(23, 1, tiny)
+    assert np.array_equal(net.contexts([(ids, odd)]), plain[odd])
