@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of, written
+from .common import arrow_map, passing_steps, texts_of, written
 from .components import components
 
 WIDTH = 5
@@ -94,12 +94,28 @@ def _features(texts: DataFrame, least: int, width: int) -> DataFrame:
     return written(texts.mapInArrow(run, f"{numbers}, prefix array<bigint>"))
 
 
-def _members(features: DataFrame) -> DataFrame:
-    """(``bucket``, ``t``, ``size``, ``place``, ``n``, parities): shingles that n > 1 texts are found by, their place in each text's prefix."""
-    found = features.select("t", "size", F.posexplode("prefix").alias("place", "bucket")).dropDuplicates(["bucket", "t"])
-    shared = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+def _may(one: Column, other: Column, ahead: Column, least: int) -> Column:
+    """Whether two sizes, and what follows the first shared shingle in either at least, allow the similarity."""
+    return ((one * _MILLION >= other * least) & (other * _MILLION >= one * least)
+            & (ahead * (_MILLION + least) >= (one + other) * least))
+
+
+def _members(features: DataFrame, least: int) -> DataFrame:
+    """(``bucket``, ``t``, ``size``, ``place``, ``n``, parities): shingles that n > 1 texts are found by, their place in each text's prefix.
+
+    Of a bucket that two rows meet in, the least and the greatest values are those of the pair, so most are settled by
+    counting: what sizes and places rule out goes before any row is joined.
+    """
+    # dealt once: the counts and the rows that they choose come from the same shuffle
+    found = features.select("t", "size", F.posexplode("prefix").alias("place", "bucket")).repartition("bucket")
+    pair = _may(F.col("_small"), F.col("_large"), F.col("_ahead"), least)
+    shared = (found.groupBy("bucket").agg(F.count("*").alias("_rows"), F.min("t").alias("_a"), F.max("t").alias("_b"), F.min("size").alias("_small"),
+                                          F.max("size").alias("_large"), F.min(F.col("size") - F.col("place")).alias("_ahead"))
+              .where((F.col("_a") != F.col("_b")) & ((F.col("_rows") > 2) | pair)).select("bucket"))
+    met = written(found.join(shared, "bucket").dropDuplicates(["bucket", "t"]))  # a text may come from several tasks
+    counts = met.groupBy("bucket").agg(F.count("*").alias("n"))
     each = features.select("t", *PARITIES).dropDuplicates(["t"])
-    return written(found.join(shared, "bucket").join(each, "t"))
+    return written(met.join(counts, "bucket").join(each, "t"), keep=True)
 
 
 def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
@@ -113,14 +129,15 @@ def similar_links(texts: DataFrame, similarity: float, width: int = WIDTH) -> Da
     member.
     """
     least = round(similarity * _MILLION)
-    members = _members(_features(texts, least, width)).withColumn("root", F.col("t"))
+    with passing_steps(texts.sparkSession):
+        members = _members(_features(texts, least, width), least)
+    members = members.withColumn("root", F.col("t"))
     at = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
     sizes = F.col("size") + F.col("_size")
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in PARITIES), F.lit(0)).cast("long")
     ahead = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
-    may = ((F.col("root") != F.col("_root"))
-           & (F.col("size") * _MILLION >= F.col("_size") * least) & (F.col("_size") * _MILLION >= F.col("size") * least)
-           & (ahead * (_MILLION + least) >= sizes * least) & (apart * (_MILLION + least) <= sizes * (_MILLION - least)))
+    may = ((F.col("root") != F.col("_root")) & _may(F.col("size"), F.col("_size"), ahead, least)
+           & (apart * (_MILLION + least) <= sizes * (_MILLION - least)))
     links, before, limit = None, 0, FIRST
     while True:
         pivots = members.where((at >= before) & (at < limit)).select(

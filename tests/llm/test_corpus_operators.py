@@ -427,3 +427,18 @@ def test_steps_go_and_the_result_stays(spark, docs_of, tmp_path, monkeypatch):
     docs = docs_of([(i, f"some text of number {i % 3} and a few words more") for i in range(9)])
     kept = simhash.keep_one(docs, similarity=0.8)
     assert len(list(tmp_path.glob("step-*"))) == 1 and kept.count() == 3
+
+
+def test_buckets_of_two_are_settled_by_counting(spark):
+    """Of two texts in a bucket only those come to the join whose sizes and places allow the similarity."""
+    def row(t, size, prefix):
+        return (t, size, *[0] * len(jaccard.PARITIES), prefix)
+
+    columns = ["t", "size", *jaccard.PARITIES, "prefix"]
+    rows = [row(1, 100, [10, 11, 12, 13]), row(2, 50, [10]),                # too unlike in size
+            row(3, 100, [*range(20, 32), 33]), row(4, 100, [*range(40, 52), 33]),  # too late in both
+            row(5, 100, [60, 61]), row(6, 90, [62, 61]), row(5, 100, [60, 61]),   # may be alike; one comes twice
+            row(7, 10, [70]), row(8, 99, [70]), row(9, 50, [70])]           # three of them are left to the join
+    features = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in columns[:-1]) + ", prefix array<bigint>")
+    got = {(r.bucket, r.t, r.n) for r in jaccard._members(features, 800_000).collect()}
+    assert got == {(61, 5, 2), (61, 6, 2), (70, 7, 3), (70, 8, 3), (70, 9, 3)}
