@@ -44,7 +44,9 @@ def _crossing(rows: DataFrame, bin_: Column, name: str) -> DataFrame:
 def split_level(rows: DataFrame, dims: Sequence[str], bins: int = BINS) -> DataFrame:
     """Cut every node of more than one leaf in two; ``rows`` has ``lo`` (first leaf), ``leaves``, ``size``, ``u`` and ``dims``.
 
-    Broadcasts hold one row for each node, and there are no more nodes than shards.
+    What a step finds of the nodes, one row for each, goes through the driver
+    to the next step, so that no plan holds the steps before it; there are no
+    more nodes than shards.
     """
     ends = rows.where("leaves > 1").groupBy("lo", "leaves").agg(
         F.sum("size").alias("_bytes"), *[f(d).alias(f"_{f.__name__}_{d}") for d in dims for f in (F.min, F.max)])
@@ -55,30 +57,32 @@ def split_level(rows: DataFrame, dims: Sequence[str], bins: int = BINS) -> DataF
     left = F.floor(F.col("leaves") / 2)
     nodes = (ends.withColumn("_widest", widest)
              .select("lo", left.cast("int").alias("left"), "_widest.width", (-F.col("_widest.nth")).alias("dim"), "_widest.least",
-                     F.floor(F.col("_bytes") * left / F.col("leaves")).alias("goal")))
+                     F.floor(F.col("_bytes") * left / F.col("leaves")).alias("goal"))).toArrow()
+    if not nodes.num_rows:
+        return rows
     value = F.element_at(F.array(*dims), F.col("dim") + 1)
     cell = F.when(F.col("width") > 0, F.least(F.floor((value - F.col("least")) / F.col("width") * bins * bins), F.lit(bins * bins - 1)))
-    placed = (rows.join(F.broadcast(nodes), "lo", "left")
-              .withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int"))
-              .withColumn("_tie", F.floor(F.col("u") * bins * bins).cast("int")))
-    open_ = placed.where("left is not null").select("lo", "size", "_cell", "_tie", "goal")
+
+    def placed(how: str) -> DataFrame:
+        return (rows.join(F.broadcast(rows.sparkSession.createDataFrame(nodes)), "lo", how)
+                .withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int"))
+                .withColumn("_tie", F.floor(F.col("u") * bins * bins).cast("int")))
 
     # each step looks only at the rows of the bin that the last one found
-    first = _crossing(open_, F.floor(F.col("_cell") / bins), "b1")
-    second = _crossing(open_.drop("goal").join(F.broadcast(first.withColumnRenamed("rest", "goal")), "lo")
-                       .where(F.floor(F.col("_cell") / bins) == F.col("b1")), F.col("_cell"), "cell")
-    within = open_.drop("goal").join(F.broadcast(second.withColumnRenamed("rest", "goal")), "lo").where("_cell = cell")
-    third = _crossing(within, F.floor(F.col("_tie") / bins), "b3")
-    fourth = _crossing(within.drop("goal").join(F.broadcast(third.withColumnRenamed("rest", "goal").drop("held")), "lo")
-                       .where(F.floor(F.col("_tie") / bins) == F.col("b3")), F.col("_tie"), "tie")
+    within = F.lit(True)
+    for name, bin_ in (("b1", F.floor(F.col("_cell") / bins)), ("cell", F.col("_cell")),
+                       ("b3", F.floor(F.col("_tie") / bins)), ("tie", F.col("_tie"))):
+        found = _crossing(placed("inner").where(within), bin_, name).toArrow()
+        nodes = nodes.drop_columns([c for c in ("goal", "held") if c in nodes.column_names]).join(
+            found.rename_columns({"rest": "goal"}), "lo", join_type="inner")
+        within = within & (bin_ == F.col(name))
     # the last bin goes to the side that brings the sum nearer to the goal
-    cuts = (second.select("lo", "cell").join(fourth.select("lo", (F.col("tie") + (F.col("rest") * 2 >= F.col("held")).cast("int")).alias("tie")), "lo"))
-    out = placed.join(F.broadcast(cuts), "lo", "left")
-    right = (F.col("_cell") > F.col("cell")) | ((F.col("_cell") == F.col("cell")) & (F.col("_tie") >= F.col("tie")))
+    tie = F.col("tie") + (F.col("goal") * 2 >= F.col("held")).cast("int")
+    right = (F.col("_cell") > F.col("cell")) | ((F.col("_cell") == F.col("cell")) & (F.col("_tie") >= tie))
     moved = F.when(F.col("left").isNull(), F.lit(0)).when(right, F.col("left")).otherwise(F.lit(0))
     leaves = (F.when(F.col("left").isNull(), F.col("leaves")).when(right, F.col("leaves") - F.col("left")).otherwise(F.col("left")))
-    return out.select(*[leaves.cast("int").alias(c) if c == "leaves" else (F.col("lo") + moved).cast("int").alias(c) if c == "lo"
-                        else F.col(c) for c in rows.columns])
+    return placed("left").select(*[leaves.cast("int").alias(c) if c == "leaves" else (F.col("lo") + moved).cast("int").alias(c) if c == "lo"
+                                   else F.col(c) for c in rows.columns])
 
 
 def kd_shards(docs: DataFrame, dims: Sequence[str], doc_id: str = "doc_id", text: str = "text",

@@ -47,6 +47,18 @@ def test_kd_leaves_are_boxes(docs_of):
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_kd_plans_stay_small(docs_of, hard_rows, monkeypatch):
+    plans, write = [], kdtree.written
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(kdtree, "written", written)
+    assert kdtree.kd_shards(docs_of(hard_rows), ("source", "n_chars", "doc_id"), shards=24).count() == len(hard_rows)
+    assert len(plans) == 6 and max(plan.count("Join ") for plan in plans) <= 1
+
+
 def test_kd_empty(docs_of, hard_rows):
     assert kdtree.kd_shards(docs_of(hard_rows).limit(0), ("source", "doc_id"), shards=24).count() == 0
 
