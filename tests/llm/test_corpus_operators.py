@@ -454,3 +454,40 @@ def test_buckets_of_two_are_settled_by_counting(spark):
     features = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in columns[:-1]) + ", prefix array<bigint>")
     got = {(r.bucket, r.t, r.n) for r in jaccard._members(features, 800_000).collect()}
     assert got == {(61, 5, 2), (61, 6, 2), (70, 7, 3), (70, 8, 3), (70, 9, 3)}
+
+
+def test_pairs_of_many_small_buckets_come_once(spark):
+    """Two texts that share many buckets with nobody else are one row; a bucket of three keeps its members."""
+    shared = list(range(100, 120))
+    rows = [(1, 100, *[0] * len(jaccard.PARITIES), [*shared, 7]), (2, 100, *[0] * len(jaccard.PARITIES), [*shared, 7]),
+            (3, 100, *[0] * len(jaccard.PARITIES), [7])]
+    kinds = ", ".join(f"{c} bigint" for c in ("t", "size", *jaccard.PARITIES))
+    got = jaccard._members(spark.createDataFrame(rows, f"{kinds}, prefix array<bigint>"), 800_000).collect()
+    assert sorted((r.t, r.other) for r in got if r.other is not None) == [(1, 2)]
+    assert sorted((r.bucket, r.t, r.n) for r in got if r.other is None) == [(7, 1, 3), (7, 2, 3), (7, 3, 3)]
+
+
+def test_long_unlike_texts_do_not_travel(spark):
+    """Sketches never rule out a pair of the similarity, and tell unlike texts apart whatever their length."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, pairs, similar = [], [], set()
+    for k, n in enumerate((1, 5, 64, 65, 130, 1000, 1024, 1100, 6000)):
+        for gone, new in ((0, 0), (n // 10, n // 10), (0, n // 4), (n // 5, 0), (n // 2, n // 2), (n, n)):
+            one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            other = np.unique(np.concatenate([one[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64) * np.uint64(2)]))
+            if not len(other):
+                continue
+            a, b = len(rows), len(rows) + 1
+            rows += [(a, len(one), jaccard.sketch(one)), (b, len(other), jaccard.sketch(other))]
+            pairs.append((a, b))
+            both = len(np.intersect1d(one, other))
+            assert jaccard.differing(rows[a][2], rows[b][2]) <= len(one) + len(other) - 2 * both
+            if 5 * both >= 4 * (len(one) + len(other) - both):
+                similar.add((a, b))
+    sketches = spark.createDataFrame(rows, "t long, size long, sketch binary")
+    found = {(r.a, r.b) for r in jaccard._near(spark.createDataFrame(pairs, "a long, b long"), sketches, 800_000).collect()}
+    assert similar <= found and len(similar) > 20
+    size = {t: n for t, n, _ in rows}
+    assert {(a, b) for a, b in found - similar if size[a] >= 64} == set()
