@@ -165,7 +165,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, width: int) -> Dat
             kept.append(shared * (_MILLION + least) >= (len(one) + len(two)) * least)
         return {c: batch.column(c).filter(pa.array(kept, pa.bool_())) for c in "ab"}
 
-    named = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    # a step of known size, small as a rule: planned over a shuffle still to run, all texts were dealt to meet it
+    named = written(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct())
     wanted = texts.join(named, "t", "left_semi").dropDuplicates(["t"])
     one, two = (wanted.select(F.col("t").alias(c), F.col("text").alias(f"_{c}")) for c in "ab")
     return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), "a bigint, b bigint", similar)
